@@ -19,11 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, text_or_empty
-
-
-def sha256(text: Column) -> Column:
-    return F.unhex(F.sha2(text.cast("binary"), 256))
+from .shared import Scratch, rows_that_stay, sha256, text_or_empty
 
 
 class DigestLog:
@@ -123,10 +119,11 @@ def exact_dedup(
     rows, text = _union(narrow), _union(texts)
     hits = scratch.save(log.compact().filter("n > 1"), "hits")
 
-    # Byte verification: the texts under a hit, each once for each task, then the digests that have several.
-    candidates = text.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "text").count()
+    # Byte verification: the texts under a hit, each once for each task, then the digests that have several. Both
+    # sides are dealt by the digest at every size: the number of hits grows with the input.
+    candidates = text.join(hits.select("digest").hint("merge"), "digest", "left_semi").groupBy("digest", "text").count()
     mixed = scratch.save(candidates.groupBy("digest").count().filter("count > 1").select("digest"), "mixed")
-    found = rows.join(hits, "digest", "left").select(
+    found = rows.join(hits.hint("merge"), "digest", "left").select(
         "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
         (F.col("n").isNull() | (F.col("rid") == log.row_of(F.col("best")))).alias("kept"), "sha", "digest",
@@ -144,22 +141,6 @@ def exact_dedup(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    The index decides which (digest, id) stays; where a group's survivor was itself repeated, the least of those
-    rows by all columns is the one. The text is compared as well, so rows under a colliding digest are kept.
-    """
-    decided = exact_dedup(docs, id_col, text_col, keep)
-    repeats = decided.filter("group_size > 1")
-    losers = Scratch(docs.sparkSession, "exact-dedup").save(
-        repeats.groupBy("sha").agg(F.first("keep_id").alias("winner"), F.sum(F.col("id").eqNullSafe(F.col("keep_id")).cast("long")).alias("alike")),
-        "groups",
-    )
-    names = docs.columns
-    sha = sha256(text_or_empty(F.col("__row").getField(text_col)))
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("__row")).withColumn("sha", sha)
-    joined = rows.join(losers, "sha", "left")
-    stay = joined.filter(F.col("alike").isNull() | F.col(f"__row.`{id_col}`").eqNullSafe(F.col("winner")))
-    single = stay.filter(F.coalesce("alike", F.lit(1)) <= 1).select("__row")
-    several = stay.filter("alike > 1").groupBy("sha").agg(F.min("__row").alias("__row")).select("__row")
-    return single.unionByName(several).select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
+    """The rows of ``docs`` that stay, with all their columns."""
+    decided = exact_dedup(docs, id_col, text_col, keep).withColumnRenamed("id", "doc_id")
+    return rows_that_stay(docs, decided, Scratch(docs.sparkSession, "exact-dedup-rows"), id_col, text_col)

@@ -56,3 +56,25 @@ def crc_of_id(column: Column) -> Column:
 
 def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def rows_that_stay(docs: DataFrame, decided: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, sha, kept: a row for each row) keeps, with all their columns.
+
+    Only identifiers and digests of rows that go, or that are repeated, are matched. Of rows alike in identifier and
+    text one stays, the least by all columns.
+    """
+    marks = decided.groupBy("doc_id", "sha").agg(F.max("kept").alias("stays"), F.count("*").alias("alike"))
+    marks = scratch.save(marks.filter("NOT stays OR alike > 1"), "marks")
+    whole = F.col("__row")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    rows = rows.withColumn("__sha", sha256(text_or_empty(whole.getField(text_col))))
+    same = (F.col("__sha") == F.col("sha")) & whole.getField(id_col).eqNullSafe(F.col("doc_id"))
+    joined = rows.join(marks, same, "left").filter("stays IS NULL OR stays")
+    single = joined.filter(F.coalesce("alike", F.lit(1)) <= 1).select("__row")
+    several = joined.filter("alike > 1").groupBy("doc_id", "sha").agg(F.min("__row").alias("__row")).select("__row")
+    return single.unionByName(several).select(*[whole.getField(c).alias(c) for c in docs.columns])
