@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_exact_dedup",)
+MODULES = ("q_exact_dedup", "q_packing", "q_ngram_join")
 
 
 def _gather(name: str) -> dict:
