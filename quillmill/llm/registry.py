@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_exact_dedup", "q_packing", "q_ngram_join")
+import corpus_pipeline
+
+MODULES = (
+    "q_packing",
+    "q_toxicity",
+    "q_exact_dedup",
+    "q_lm_scoring",
+    "q_mixing",
+    "q_ngram_join",
+    "q_cap_join",
+)
 
 
 def _gather(name: str) -> dict:
@@ -15,8 +25,9 @@ def _gather(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _gather("QUERIES")
+    return _gather("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _gather("ORACLE_SQL")
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return _gather("ORACLE_SQL") | own
