@@ -13,6 +13,7 @@ MODULES = (
     "q_exact_dedup",
     "q_lm_scoring",
     "q_mixing",
+    "q_html_extraction",
     "q_ngram_join",
     "q_cap_join",
 )
