@@ -9,6 +9,7 @@ import corpus_pipeline
 MODULES = (
     "q_packing",
     "q_toxicity",
+    "q_fixity",
     "q_license_scan",
     "q_exact_dedup",
     "q_lm_scoring",
