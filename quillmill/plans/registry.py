@@ -1,4 +1,6 @@
 """Queries over the driver's tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries_documents, queries_text
+
+QUERIES: dict = queries_text.QUERIES | queries_documents.QUERIES
+ORACLE_SQL: dict[str, str] = queries_text.ORACLE_SQL | queries_documents.ORACLE_SQL
