@@ -76,10 +76,10 @@ def densified(cells: Column) -> Column:
     """An array of (row, col, value) structs as rows, gaps filled with ''; empty rows at the end are left out."""
     rows = F.coalesce(F.array_max(F.transform(F.filter(cells, lambda c: F.coalesce(c["value"], F.lit("")) != ""), lambda c: c["row"])), F.lit(-1))
     columns = F.coalesce(F.array_max(F.transform(cells, lambda c: c["col"])), F.lit(-1))
-    known = F.map_from_entries(F.transform(cells, lambda c: F.struct(F.struct(c["row"], c["col"]), c["value"])))
+    known = F.map_from_entries(F.transform(cells, lambda c: F.struct(F.concat_ws(":", c["row"], c["col"]), c["value"])))
 
     def filled(r: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), columns), lambda k: F.coalesce(F.try_element_at(known, F.struct(r, k)), F.lit("")))
+        return F.transform(F.sequence(F.lit(0), columns), lambda k: F.coalesce(F.try_element_at(known, F.concat_ws(":", r, k)), F.lit("")))
 
     none = F.array().cast("array<array<string>>")
     return F.when((rows < 0) | (columns < 0), none).otherwise(F.transform(F.sequence(F.lit(0), rows), filled))

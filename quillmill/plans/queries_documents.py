@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..formats.html import html_to_markdown as to_markdown
 from ..formats.html import tokens
@@ -24,6 +25,17 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders, numbered anew within each order, as their own numbers repeat."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    return lines.withColumn("l_linenumber", F.row_number().over(order))
+
+
+_LINES = """(SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus)::INT
+  AS l_linenumber) FROM lineitem) AS lines"""
+
+
 # Pages
 
 def _page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +125,6 @@ def sheet_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as a sheet with holes: a row an order, its price in a column by priority."""
     orders = read_table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_custkey").alias("sheet"), "o_orderkey", F.pmod(F.col("o_orderkey"), F.lit(5)).cast("int").alias("col"))
-    from pyspark.sql.window import Window
-
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey")) - 1)
     held = rows.groupBy("sheet").agg(F.collect_list(F.struct("row", "col", F.col("o_orderkey").cast("string").alias("value"))).alias("cells"))
     return held.select("sheet", md.markdown_table(md.densified(F.col("cells")), md.SHEET).alias("markdown"))
@@ -227,21 +237,21 @@ QUERIES["eml_to_markdown"] = mails_to_markdown
 
 def list_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each order as list items, numbered by kind of delivery."""
-    items = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    items = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag")
     level = F.when(F.col("l_returnflag") == "R", F.lit(1)).otherwise(F.lit(0))
     return documents.list_markers(items, ["l_orderkey", "l_returnflag"], ["l_linenumber"], F.col("l_returnflag") != "A", level)
 
 
 QUERIES["list_counters"] = list_counters
-ORACLE_SQL["list_counters"] = """
+ORACLE_SQL["list_counters"] = f"""
 SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'R' THEN '  ' ELSE '' END || CASE WHEN l_returnflag <> 'A'
-  THEN row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) || '. ' ELSE '- ' END AS marker FROM lineitem
+  THEN row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) || '. ' ELSE '- ' END AS marker FROM {_LINES}
 """
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as books, their lines as the spine, and parts as the manifest."""
-    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    orders, lines = read_table(spark, sf_dir, "orders"), _lines(spark, sf_dir)
     spine = lines.select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("pos"), F.col("l_linenumber").alias("item_id"),
                          F.when(F.col("l_returnflag") == "A", F.lit("no")).alias("linear"))
     manifest = lines.filter("l_linenumber % 4 <> 3").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("item_id"),
@@ -252,9 +262,9 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["epub_combine"] = books
-ORACLE_SQL["epub_combine"] = """
+ORACLE_SQL["epub_combine"] = f"""
 WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '## ' || l_linestatus || chr(10) || chr(10) ELSE '' END || 'part ' || l_partkey || chr(10) AS t
-  FROM lineitem WHERE l_linenumber % 4 <> 3 AND l_returnflag <> 'A'),
+  FROM {_LINES} WHERE l_linenumber % 4 <> 3 AND l_returnflag <> 'A'),
 b AS (SELECT l_orderkey, string_agg(t, chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber) AS body FROM c GROUP BY 1)
 SELECT o_orderkey AS book_id, '# book ' || o_orderkey || chr(10) || chr(10) || '**作者：** ' || o_custkey || chr(10) || chr(10) || '**语言：** en' || chr(10) || chr(10)
   || '---' || chr(10) || chr(10) || body AS markdown FROM orders JOIN b ON o_orderkey = l_orderkey
@@ -262,15 +272,15 @@ SELECT o_orderkey AS book_id, '# book ' || o_orderkey || chr(10) || chr(10) || '
 
 
 def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("pos"),
+    lines = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("pos"),
         F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("a/b:"), F.col("l_partkey").cast("string"))).alias("title"))
     return documents.chapter_names(lines).select("book_id", "pos", "file_name")
 
 
 QUERIES["epub_chapter_files"] = chapter_files
-ORACLE_SQL["epub_chapter_files"] = """
+ORACLE_SQL["epub_chapter_files"] = f"""
 WITH a AS (SELECT l_orderkey AS book_id, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'a/b:' || l_partkey END AS title,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem)
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM {_LINES})
 SELECT book_id, pos, lpad(k::VARCHAR, 2, '0') || '_' || substr(translate(coalesce(title, 'chapter_' || lpad(k::VARCHAR, 2, '0')), '/:', '__'), 1, 60) || '.md' AS file_name FROM a
 """
 
@@ -290,7 +300,7 @@ SELECT doc_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) O
 
 def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents, their lines as paragraphs of two runs: headings, list items, links, plain text."""
-    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("para"), "l_returnflag", "l_partkey")
+    lines = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("para"), "l_returnflag", "l_partkey")
     head = (F.col("l_returnflag") == "R") & (F.col("para") == 1)
     size = F.when(head, F.lit(24.0)).otherwise(F.lit(12.0))
     one = F.struct(F.lit(0).alias("pos"), F.when(F.col("l_returnflag") == "A", F.lit("• item ")).otherwise(F.lit("text ")).alias("text"), size.alias("font_size"),
@@ -302,8 +312,8 @@ def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["styled_runs_to_markdown"] = styled_runs
-ORACLE_SQL["styled_runs_to_markdown"] = """
-WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber AS para, l_returnflag AS f, l_partkey::VARCHAR AS k, l_returnflag = 'R' AND l_linenumber = 1 AS big FROM lineitem),
+ORACLE_SQL["styled_runs_to_markdown"] = f"""
+WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber AS para, l_returnflag AS f, l_partkey::VARCHAR AS k, l_returnflag = 'R' AND l_linenumber = 1 AS big FROM {_LINES}),
 sz AS (SELECT doc_id, sum(CASE WHEN big THEN 5 + length(k) ELSE 0 END) AS n24, sum(CASE WHEN big THEN 0 WHEN f = 'A' THEN 7 + length(k) ELSE 5 + length(k) END) AS n12 FROM a GROUP BY 1),
 b AS (SELECT a.*, CASE WHEN n24 > n12 THEN 24 ELSE 12 END AS body FROM a JOIN sz USING (doc_id)),
 c AS (SELECT doc_id, para, CASE WHEN big AND body = 12 THEN '# ' ELSE '' END || CASE WHEN f = 'A' THEN '- item [' || k || '](u)' WHEN big THEN '**text **' || '**' || k || '**'
@@ -356,7 +366,7 @@ ORACLE_SQL["list_formats"] = f"SELECT * FROM (VALUES {', '.join(f'({e!r})' for e
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages: their lines are blocks in two columns, some with a third."""
-    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("idx"), F.col("l_partkey").cast("string").alias("text"))
+    lines = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("idx"), F.col("l_partkey").cast("string").alias("text"))
     column = F.pmod("idx", F.lit(2))
     row = F.floor((F.col("idx") - 1) / 2)
     return lines.select("doc_id", F.lit(1).alias("page"), "idx", "text", F.lit(0.5).alias("confidence"), (column * 0.5 + 0.05).alias("x"), (F.lit(0.9) - row * 0.05).alias("y"),
@@ -368,7 +378,7 @@ def ocr_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["ocr_columns"] = ocr_columns
-_GRID = "g AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS idx, l_partkey::VARCHAR AS text, l_linenumber % 2 AS c, (l_linenumber - 1) // 2 AS r FROM lineitem)"
+_GRID = f"g AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS idx, l_partkey::VARCHAR AS text, l_linenumber % 2 AS c, (l_linenumber - 1) // 2 AS r FROM {_LINES})"
 _SPLIT = f"""{_GRID}, n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (c = 0) AS n0, count(*) FILTER (c = 1) AS n1 FROM g GROUP BY 1),
 p AS (SELECT g.*, CASE WHEN n0 = 0 OR n1 = 0 OR greatest(n0, n1)::DOUBLE / n > 0.8 THEN 0 ELSE c END::INT AS col FROM g JOIN n USING (doc_id))"""
 ORACLE_SQL["ocr_columns"] = f"WITH {_SPLIT} SELECT doc_id, idx, col FROM p"
