@@ -59,7 +59,10 @@ def _run(spark: SparkSession, given: argparse.Namespace, standard: bool) -> int:
     code = 0
     present = []
     for path in given.inputs:
-        if standard or os.path.isfile(path):
+        if not standard and os.path.isfile(path) and not os.path.getsize(path):  # Spark's file source leaves these out
+            print(f"{path}: empty input", file=sys.stderr)
+            code = 1
+        elif standard or os.path.isfile(path):
             present.append(path)
         else:
             print(f"{path}: no such file", file=sys.stderr)

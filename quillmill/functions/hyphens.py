@@ -48,7 +48,7 @@ class HyphenRules:
         return "-" if first and second else None
 
     def merged(self, text: str) -> str:
-        """The text with parted words joined; a joined line is looked at again, for words over three lines."""
+        """The text with parted words joined; a joined line is looked at again."""
         waiting = text.split("\n")
         waiting.reverse()
         out = []
@@ -82,7 +82,7 @@ def read_compounds(lines) -> list[str]:
 
 
 def hyphen_merger(rules: HyphenRules = DEFAULT_RULES):
-    """A Column function; texts without a hyphen at a line end never leave the JVM's own expression."""
+    """A Column function. Texts without a hyphen at a line end keep their value as it is."""
 
     @F.arrow_udf("string")
     def merge(texts: pa.Array) -> pa.Array:

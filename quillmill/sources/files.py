@@ -17,7 +17,10 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_files(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
-    """Files at paths or globs: path, modificationTime, length, content. Only what is selected is read."""
+    """Files at paths or globs: path, modificationTime, length, content. Only what is selected is read.
+
+    Spark's source leaves files of no bytes out.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     return reader.load(list(paths))
 
