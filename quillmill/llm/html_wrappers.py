@@ -122,7 +122,7 @@ class Rules:
 
 
 def rules_of(wrapper: list) -> Rules:
-    """The article is where pages have an article or main element, else the deepest element with most slot text."""
+    """The article is where pages have an article or main element, else the deepest group of blocks with most slot text."""
     named: dict[tuple[str, ...], int] = {}
     constants = set()
     slots: dict[tuple[str, ...], int] = {}
@@ -140,7 +140,8 @@ def rules_of(wrapper: list) -> Rules:
             if child[KEY].split(".")[0] in ("article", "main"):
                 named[below] = child[WEIGHT]
             weight += walk(child, below)
-        slots[path] = weight
+        if not path or any(child[KEY] != "#" for child in node[CONTENT]):
+            slots[path] = weight
         return weight
 
     total = walk(wrapper, ())
