@@ -48,8 +48,12 @@ def tokens_of(text: Column) -> Column:
 def topic_of(text: Column) -> Column:
     """A topic by form, for corpora without one: tables, text with symbol noise, short texts, prose."""
     n = F.greatest(F.length(text), F.lit(1))
-    cells = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    marks = F.length(text) - F.length(F.translate(text, "%*#$&", ""))
+
+    def how_many(mark: str) -> Column:  # one byte each; a text without the mark is only searched
+        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+    cells = how_many("|")
+    marks = sum((how_many(m) for m in "*#$&"), how_many("%"))
     return (
         F.when(marks * 20 > n, F.lit("symbols")).when(cells * 40 > n, F.lit("tables"))
         .when(n < 600, F.lit("short")).otherwise(F.lit("prose"))

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .mixing import OTHER, Targets, mix, tokens_of, topic_of
-from .shared import table, text_or_empty
+from .mixing import OTHER, Targets, fit_mix, tokens_of, topic_of, uniform_of
+from .shared import Scratch, table, text_or_empty
 
 KEEP, ROUNDS = 0.5, 25
 TARGETS = Targets(
@@ -16,12 +16,16 @@ TARGETS = Targets(
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    _, probability, stays = mix(docs, TARGETS, KEEP)
     text = text_or_empty(docs["text"])
-    return docs.select(
-        "doc_id", "source", "lang", topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"),
-        F.round(probability, 9).alias("probability"), stays.alias("kept"),
-    )
+    rows = docs.select(
+        "doc_id", "source", "lang", topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"), uniform_of(docs["doc_id"], text).alias("u")
+    )
+    rows = Scratch(spark, "mixing").save(rows, "rows")  # the texts are read once
+    place = [F.col("source").cast("string"), F.col("lang").cast("string"), F.col("topic")]
+    probability = fit_mix(rows, *place, F.col("n_tokens"), TARGETS, KEEP, ROUNDS).probability(*place)
+    return rows.select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round(probability, 9).alias("probability"), (F.col("u") < probability).alias("kept")
+    )
 
 
 QUERIES = {"op7_mixing": op7_mixing}
