@@ -120,6 +120,30 @@ class Tiff:
         return values[0] if count == 1 else values
 
 
+#: Record and number of the captions that are shown.
+_CAPTIONS = (((2, 5), "Title"), ((2, 120), "Description"), ((2, 25), "Keywords"))
+
+
+def captions(data: bytes) -> Properties:
+    """Title, description and keywords from a JPEG's caption block."""
+    at = data.find(b"Photoshop 3.0\0") if data.startswith(b"\xff\xd8\xff") else -1
+    at = data.find(b"8BIM\x04\x04", at) if at >= 0 else -1
+    if at < 0 or at + 12 > len(data):
+        return []
+    at += 6
+    at += (data[at] + 2) // 2 * 2  # a name of even length, its size included
+    if at + 4 > len(data):
+        return []
+    end = at + 4 + struct.unpack_from(">I", data, at)[0]
+    at += 4
+    found: dict[tuple[int, int], list[str]] = {}
+    while at + 5 <= min(end, len(data)) and data[at] == 0x1C:
+        record, number, size = struct.unpack_from(">BBH", data, at + 1)
+        found.setdefault((record, number), []).append(data[at + 5 : at + 5 + size].decode("utf-8", "replace"))
+        at += 5 + size
+    return [(name, ", ".join(found[key]) if name == "Keywords" else found[key][0]) for key, name in _CAPTIONS if key in found]
+
+
 def _degrees(value: object) -> float | None:
     if isinstance(value, tuple) and len(value) == 3:
         return value[0] + value[1] / 60 + value[2] / 3600
@@ -131,7 +155,7 @@ def image_properties(data: bytes) -> Properties:
     size, block = image_parts(data)
     out: Properties = [("ImageSize", f"{size[0]} × {size[1]}")] if size else []
     if block is None or block[:2] not in (b"II", b"MM"):
-        return out
+        return out + captions(data)
     tiff = Tiff(block)
     main = tiff.directory(None)
     out += [(name, main[tag]) for tag, name in _MAIN if isinstance(main.get(tag), str) and main[tag]]
@@ -156,7 +180,7 @@ def image_properties(data: bytes) -> Properties:
         out.append(("GPSPosition", f"{latitude:.5f}°{gps[1]}, {longitude:.5f}°{gps[3]}"))
     if isinstance(gps.get(6), float):
         out.append(("GPSAltitude", f"{gps[6]:.0f} m"))
-    return out
+    return out + captions(data)
 
 
 def needs_upscale(width: int, height: int, scale: float, least: int = 1500) -> bool:

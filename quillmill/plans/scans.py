@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.extraction import claims_of, cover_rows, paragraph_rows
 from ..functions.hyphens import DEFAULT_RULES, HyphenRules, hyphen_merger
-from ..functions.text import corrected, fix_paragraph_brackets, repaired, trimmed
+from ..functions.tables import property_table
+from ..functions.text import corrected, ended, fix_paragraph_brackets, repaired, trimmed
 from ..operators import layout, quality
 from ..operators.documents import text_layer
 from ..settings import Settings
@@ -67,3 +68,22 @@ def process_text_layer(pages: DataFrame, settings: Settings) -> DataFrame:
     plain = Settings(punctuation=settings.punctuation, primary_language=settings.primary_language, correct=False, preset=settings.preset)
     text = repaired(F.col("raw"), hyphen_merger(), half=plain.half_width)
     return joined.select("doc_id", F.concat(trimmed(text), F.lit("\n")).alias("markdown"))
+
+
+def process_images(images: DataFrame, blocks: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, status, markdown) from images (doc_id, name, properties array of property, value) and their blocks.
+
+    A title, the properties as a table, a rule, and the text; an image with neither properties nor text has failed.
+    """
+    text = layout.page_text(blocks, image=True).select("doc_id", F.lit(1).alias("page"), F.col("text").alias("raw"))
+    text = repair(text, settings, image=True).select("doc_id", "raw", "text")
+    joined = images.join(text, "doc_id", "left")
+    shown = property_table(F.col("properties"))
+    has_text = trimmed(F.coalesce("raw", F.lit(""))) != ""
+    table = F.when(shown != "", F.concat(shown, F.lit("\n"))).otherwise(F.lit(""))
+    rule = F.when((shown != "") & has_text, F.lit("---\n\n")).otherwise(F.lit(""))
+    whole = F.concat(F.lit("# "), "name", F.lit("\n\n"), table, rule, F.when(has_text, F.col("text")).otherwise(F.lit("")))
+    failed = (shown == "") & ~has_text
+    return joined.select(
+        "doc_id", F.when(failed, F.lit("failed")).otherwise(F.lit("success")).alias("status"), F.when(~failed, ended(whole)).alias("markdown")
+    )

@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..formats.books import chapter_files, read_book
+from ..formats.errors import ConversionError
+from ..formats.word import word_assets
 from ..plans.scans import ScanResult
+from ..settings import Preset
+from ..sources.kinds import base_name, with_kind
 
 
 @dataclass
@@ -40,7 +46,7 @@ class FolderWriter(DataSourceWriter):
             held = f"{place}.{uuid.uuid4().hex[:8]}.tmp"
             content = row["content"]
             with open(held, "wb") as file:
-                file.write(content.encode() if isinstance(content, str) else bytes(content or b""))
+                file.write(bytes(content or b""))
             os.replace(held, place)
             count += 1
         return FileWritten(count)
@@ -54,7 +60,7 @@ class FolderSource(DataSource):
         return "quillmill_files"
 
     def schema(self) -> str:
-        return "path string, content string"
+        return "path string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return FolderWriter(self.options["path"])
@@ -63,7 +69,7 @@ class FolderSource(DataSource):
 def write_files(rows: DataFrame, folder: str) -> None:
     """Rows (path, content) as files below ``folder``; existing ones are replaced."""
     rows.sparkSession.dataSource.register(FolderSource)
-    rows.select("path", F.col("content").cast("string").alias("content")).write.format("quillmill_files").mode("append").save(folder)
+    rows.select("path", F.col("content").cast("binary").alias("content")).write.format("quillmill_files").mode("append").save(folder)
 
 
 def markdown_files(results: DataFrame) -> DataFrame:
@@ -99,6 +105,31 @@ def structured_files(result: ScanResult, name: Column | None = None) -> DataFram
     return out
 
 
+def preset_files(presets: list[Preset], spark: SparkSession) -> DataFrame:
+    """(path, content) of presets as JSON files."""
+    return spark.createDataFrame([(p.file_name, p.to_json()) for p in presets], "path string, content string")
+
+
+def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for kind, name, content in zip(*(batch.column(k) for k in range(3)), strict=True):
+            try:
+                if kind.as_py() == "docx":
+                    found = word_assets(content.as_py(), name.as_py())
+                else:
+                    found = [(path, text.encode()) for path, text in chapter_files(read_book(content.as_py(), name.as_py()))]
+            except ConversionError:
+                continue  # the conversion itself reports it
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+
+
+def companion_files(files: DataFrame) -> DataFrame:
+    """(path, content) beside the Markdown: the images of Word documents, and books as an index with a file a chapter."""
+    rows = with_kind(files.select("path", "content")).filter("kind IN ('docx', 'epub')")
+    return rows.select("kind", base_name(F.col("path")).alias("name"), "content").mapInArrow(_companions, "path string, content binary")
+
+
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Rows as Parquet, in folders by the columns ``by``: the form for corpora too large for a file a document."""
     writer = rows.write.mode("overwrite")

@@ -9,9 +9,9 @@ from quillmill import cli
 from quillmill.formats.styled import Run, runs_to_markdown
 from quillmill.operators import documents, layout, quality
 from quillmill.plans.convert import convert, exit_code, jobs
-from quillmill.plans.scans import process_scans, process_text_layer
+from quillmill.plans.scans import process_images, process_scans, process_text_layer
 from quillmill.settings import PRESETS, Settings
-from quillmill.sinks.files import markdown_files, structured_files, write_files
+from quillmill.sinks.files import companion_files, markdown_files, preset_files, structured_files, write_files
 from quillmill.sources import files as sources
 from quillmill.sources.kinds import EXTENSIONS, with_kind
 from quillmill.streaming.folders import convert_stream, watched
@@ -173,3 +173,25 @@ def test_lists_books_mails(spark):
     first, second = documents.mail_headers(mails).orderBy("id").collect()
     assert [tuple(h) for h in first.headers] == [("Subject", "a b"), ("To", "x: y")] and first.body == "body\n\nmore"
     assert second.headers == [] and second.body == ""
+
+
+def test_images_with_text(spark):
+    images = spark.createDataFrame([(1, "pic", [("ImageSize", "1 × 2")]), (2, "none", []), (3, "only", [])], "doc_id long, name string, properties array<struct<property:string,value:string>>")
+    rows = blocks(spark, [("right", 0.6, 0.9), ("left [0001 x", 0.1, 0.9), ("low", 0.1, 0.5)])
+    got = {r.doc_id: (r.status, r.markdown) for r in process_images(images, rows, Settings()).collect()}
+    assert got[1] == ("success", "# pic\n\n| Property | Value |\n| --- | --- |\n| ImageSize | 1 × 2 |\n\n---\n\nleft [0001] x\nright\nlow\n")
+    assert got[2] == ("failed", None)
+
+
+def test_companions_and_presets(spark, tmp_path):
+    relations = '<Relationship Id="i" Type="x/image" Target="media/p.png"/>'
+    word = b.docx(b.para("w"), relations=relations, **{"word/media/p.png": b"\x89png"})
+    book = b.epub({"a.xhtml": "<h1>One</h1>"}, '<itemref idref="c0"/>')
+    files = spark.createDataFrame([("in/w.docx", bytearray(word)), ("in/b.epub", bytearray(book)), ("in/x.docx", bytearray(b"PK"))], "path string, content binary")
+    write_files(companion_files(files), str(tmp_path))
+    assert (tmp_path / "w_assets" / "p.png").read_bytes() == b"\x89png"
+    assert (tmp_path / "Book" / "index.md").read_text().endswith("- [One](01_One.md)\n")
+    write_files(preset_files(list(PRESETS), spark), str(tmp_path))
+    assert (tmp_path / "technical-spec.json").exists()
+    with pytest.raises(Exception, match="outside"):
+        write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), str(tmp_path))
