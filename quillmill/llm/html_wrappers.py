@@ -226,17 +226,16 @@ class Extract:
     """Batches of (page_id, url, html, wrapper) to (page_id, url, text)."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Rules] = {}
+        known: dict[str | None, Rules] = {}
         for batch in batches:
             texts = []
             for html, wrapper in zip(batch.column(2), batch.column(3), strict=True):
                 packed = wrapper.as_py()
-                key = hash(packed)
-                if key not in known:
+                if packed not in known:
                     if len(known) > HELD_HOSTS:
                         known.clear()
-                    known[key] = rules_of(json.loads(packed)) if packed else Rules(frozenset(), frozenset())
-                texts.append(main_text(html.as_py(), known[key]))
+                    known[packed] = rules_of(json.loads(packed)) if packed else Rules(frozenset(), frozenset())
+                texts.append(main_text(html.as_py(), known[packed]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
