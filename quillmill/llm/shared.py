@@ -74,7 +74,10 @@ def rows_that_stay(docs: DataFrame, decided: DataFrame, scratch: Scratch, id_col
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     rows = rows.withColumn("__sha", sha256(text_or_empty(whole.getField(text_col))))
     same = (F.col("__sha") == F.col("sha")) & whole.getField(id_col).eqNullSafe(F.col("doc_id"))
-    joined = rows.join(marks, same, "left").filter("stays IS NULL OR stays")
-    single = joined.filter(F.coalesce("alike", F.lit(1)) <= 1).select("__row")
-    several = joined.filter("alike > 1").groupBy("doc_id", "sha").agg(F.min("__row").alias("__row")).select("__row")
-    return single.unionByName(several).select(*[whole.getField(c).alias(c) for c in docs.columns])
+    # Dealt by digest at every size: the marks grow with the input.
+    stay = rows.join(marks.hint("merge"), same, "left_anti").select("__row")
+    repeated = scratch.save(marks.filter("stays AND alike > 1"), "repeated")
+    if repeated.take(1):
+        again = rows.join(repeated.hint("merge"), same).groupBy("doc_id", "sha").agg(F.min("__row").alias("__row"))
+        stay = stay.unionByName(again.select("__row"))
+    return stay.select(*[whole.getField(c).alias(c) for c in docs.columns])
