@@ -20,6 +20,7 @@ from ..operators import documents, layout
 from ..sources import kinds
 from ..tables import read_table
 from .convert import convert
+from .queries_text import whitespace_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,6 +234,13 @@ def mails_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["eml_to_markdown"] = mails_to_markdown
+ORACLE_SQL["eml_to_markdown"] = """
+WITH a AS (SELECT conv_id || '-' || turn AS id, replace(text, chr(13) || chr(10), chr(10)) AS t FROM conversations WHERE text IS NOT NULL),
+b AS (SELECT *, replace(replace(replace(t, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)) AS body FROM a)
+SELECT id || '.eml' AS path, CASE WHEN trim(body) = '' THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN trim(body) <> '' THEN '# folded subject ' || id || chr(10) || chr(10) || '- **From:** a' || id || '@example.org' || chr(10) || '- **Date:** today' || chr(10) || chr(10)
+    || '---' || chr(10) || chr(10) || body || CASE WHEN ends_with(body, chr(10)) THEN '' ELSE chr(10) END END AS markdown FROM b
+"""
 
 
 def list_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,6 +465,14 @@ def scan_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["scan_to_markdown"] = scan_pipeline
+ORACLE_SQL["scan_to_markdown"] = f"""
+WITH {_TABLES}, rest AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM f JOIN q USING (doc_id) WHERE f.doc_id = g.doc_id AND f.r = g.r)),
+k AS (SELECT doc_id, c, string_agg(text, chr(10) ORDER BY r) AS t FROM rest GROUP BY 1, 2),
+flow AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY c) AS t FROM k GROUP BY 1),
+tab AS (SELECT doc_id, string_agg('| ' || t || ' |' || CASE WHEN r = 0 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY r) AS t FROM f JOIN q USING (doc_id) GROUP BY 1)
+SELECT doc_id, '## Page 1' || chr(10) || chr(10) || coalesce(flow.t, '') || coalesce(chr(10) || chr(10) || tab.t, '') || chr(10) AS markdown
+FROM (SELECT DISTINCT doc_id FROM g) LEFT JOIN flow USING (doc_id) LEFT JOIN tab USING (doc_id)
+"""
 
 
 def _archive(text: str, number: int) -> bytes:
@@ -484,6 +500,12 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["zip_batch"] = archives
+ORACLE_SQL["zip_batch"] = f"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), b AS (SELECT doc_id, x, {whitespace_sql("regexp_replace(x, '\\r\\n?', chr(10), 'g')")} AS y FROM a)
+SELECT doc_id || '.zip/notes/a.txt' AS path, 'txt' AS kind, CASE WHEN x = '' THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN x <> '' THEN length(y) + CASE WHEN ends_with(y, chr(10)) THEN 0 ELSE 1 END END::INT AS n_chars FROM b
+UNION ALL SELECT doc_id || '.zip/b.ipynb', 'ipynb', 'success', (length('# b') + 2 + length('```python') + 1 + length(doc_id::VARCHAR) + 1 + 3 + 2)::INT FROM a
+"""
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:

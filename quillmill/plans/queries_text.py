@@ -48,7 +48,7 @@ def _text_query(name: str, function, body: str, *noise: tuple[str, str]) -> None
     ORACLE_SQL[name] = _sql(f"{body.replace('{x}', _put_sql('text', *noise))} AS text")
 
 
-def _whitespace_sql(x: str) -> str:
+def whitespace_sql(x: str) -> str:
     trim = f"regexp_replace({x}, '[\\t\\v\\f\\r\\pZ]+(\\n|\\z)', '\\1', 'g')"
     ends = f"regexp_replace(regexp_replace(regexp_replace({trim}, '\\n{{4,}}', chr(10)||chr(10)||chr(10), 'g'), '\\A\\n{{3,}}', chr(10)||chr(10)), '\\n{{3,}}\\z', chr(10)||chr(10))"
     return f"CASE WHEN regexp_full_match({trim}, '\\n*') THEN substr({trim}, 1, 1) ELSE {ends} END"
@@ -58,7 +58,7 @@ BREAKS = ((". ", ".  \n\n\n\n"), (", ", ",\t\n"))
 MARKS = ((", ", " — "), (" the ", " “the” "), (" of ", "… of ‘"))
 WIDE = ((", ", "，"), (". ", "．"), (" the ", "（the）"), (" la ", "［la］"))
 
-_text_query("text_whitespace", text.clean_whitespace, _whitespace_sql("{x}"), *BREAKS)
+_text_query("text_whitespace", text.clean_whitespace, whitespace_sql("{x}"), *BREAKS)
 _text_query("text_newlines", text.unix_newlines, "regexp_replace({x}, '\\r\\n?', chr(10), 'g')", (". ", ".\r\n"), (", ", ",\r"))
 _text_query(
     "text_special_chars", text.plain_marks, "replace(translate({x}, '‘’“”–—«»', '''''\"\"--\"\"'), '…', '...')", *MARKS
@@ -76,7 +76,7 @@ _text_query(
 )
 ORACLE_SQL["text_to_markdown"] = (
     f"WITH a AS (SELECT doc_id, regexp_replace({_put_sql('coalesce(text, chr(0)[2:])', *BREAKS)}, '\\r\\n?', chr(10), 'g') AS x FROM documents), "
-    f"b AS (SELECT doc_id, {_whitespace_sql('x')} AS y FROM a) "
+    f"b AS (SELECT doc_id, {whitespace_sql('x')} AS y FROM a) "
     "SELECT doc_id, CASE WHEN ends_with(y, chr(10)) THEN y ELSE y || chr(10) END AS text FROM b"
 ).replace("coalesce(text, chr(0)[2:])", "coalesce(text, '')")
 _text_query(
