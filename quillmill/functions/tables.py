@@ -46,10 +46,15 @@ def width(rows: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not anew for each element that ``body`` looks at."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def padded(rows: Column) -> Column:
     """Every row with as many cells as the longest."""
-    n = width(rows)
-    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), n - F.size(r))))
+    both = F.struct(rows.alias("rows"), width(rows).alias("n"))
+    return _with(both, lambda x: F.transform(x["rows"], lambda r: F.concat(r, F.array_repeat(F.lit(""), x["n"] - F.size(r)))))
 
 
 def _line(row: Column, style: TableStyle) -> Column:
@@ -72,17 +77,14 @@ def markdown_table(rows: Column, style: TableStyle = CSV, header: Column | None
     return F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(whole, F.lit(style.ending))).otherwise(F.lit(""))
 
 
-def densified(cells: Column) -> Column:
-    """An array of (row, col, value) structs as rows, gaps filled with ''; empty rows at the end are left out."""
-    rows = F.coalesce(F.array_max(F.transform(F.filter(cells, lambda c: F.coalesce(c["value"], F.lit("")) != ""), lambda c: c["row"])), F.lit(-1))
-    columns = F.coalesce(F.array_max(F.transform(cells, lambda c: c["col"])), F.lit(-1))
-    known = F.map_from_entries(F.transform(cells, lambda c: F.struct(F.concat_ws(":", c["row"], c["col"]), c["value"])))
+def dense_row(cells: Column, columns: Column) -> Column:
+    """An array of (col, value) structs as ``columns`` values, gaps filled with ''."""
 
-    def filled(r: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), columns), lambda k: F.coalesce(F.try_element_at(known, F.concat_ws(":", r, k)), F.lit("")))
+    def at(k: Column) -> Column:
+        return F.coalesce(F.get(F.filter(cells, lambda c: c["col"] == k), F.lit(0))["value"], F.lit(""))
 
-    none = F.array().cast("array<array<string>>")
-    return F.when((rows < 0) | (columns < 0), none).otherwise(F.transform(F.sequence(F.lit(0), rows), filled))
+    none = F.array().cast("array<string>")
+    return F.when(columns > 0, F.transform(F.sequence(F.lit(0), columns - 1), at)).otherwise(none)
 
 
 def property_table(pairs: Column) -> Column:

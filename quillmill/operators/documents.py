@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tables import dense_row
 from ..functions.text import collapse_blank_lines, safe_file_name, trimmed
 
 
@@ -15,6 +16,20 @@ def joined(rows: DataFrame, by: list[str], order: list, text: Column, between: s
     return held.select(*by, F.array_join(F.transform("held", lambda x: x["joined_text"]), between).alias(name))
 
 
+def dense_sheets(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rows): cells (by, row, col, value) as rows of equal length, gaps filled with ''; empty rows at the end go.
+
+    Cells meet by row, then rows by sheet, so the work grows with the sheet's area.
+    """
+    filled = F.coalesce("value", F.lit("")) != ""
+    extent = cells.groupBy(*by).agg(F.max(F.when(filled, F.col("row"))).alias("last"), (F.max("col") + 1).alias("columns"))
+    frame = extent.filter("last IS NOT NULL").select(*by, "columns", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("row"))
+    held = cells.groupBy(*by, F.col("row").cast("int").alias("row")).agg(F.collect_list(F.struct("col", "value")).alias("cells"))
+    lines = frame.join(held, [*by, "row"], "left").withColumn("line", dense_row(F.col("cells"), F.col("columns")))
+    whole = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("held"))
+    return whole.select(*by, F.transform("held", lambda x: x["line"]).alias("rows"))
+
+
 def list_markers(items: DataFrame, by: list[str], order: list, ordered: Column, level: Column, start: Column | None = None) -> DataFrame:
     """``items`` with ``marker``: an indent, then a bullet or a running number within ``by``."""
     running = F.count("*").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -127,8 +127,8 @@ def sheet_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_custkey").alias("sheet"), "o_orderkey", F.pmod(F.col("o_orderkey"), F.lit(5)).cast("int").alias("col"))
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey")) - 1)
-    held = rows.groupBy("sheet").agg(F.collect_list(F.struct("row", "col", F.col("o_orderkey").cast("string").alias("value"))).alias("cells"))
-    return held.select("sheet", md.markdown_table(md.densified(F.col("cells")), md.SHEET).alias("markdown"))
+    cells = rows.select("sheet", "row", "col", F.col("o_orderkey").cast("string").alias("value"))
+    return documents.dense_sheets(cells, ["sheet"]).select("sheet", md.markdown_table(F.col("rows"), md.SHEET).alias("markdown"))
 
 
 QUERIES["xlsx_densify"] = sheet_densify

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.formats.plain import clean_whitespace as model_clean
 from quillmill.functions import extraction, tables, text
 from quillmill.functions.hyphens import DEFAULT_RULES, hyphen_merger, read_compounds
+from quillmill.operators.documents import dense_sheets
 from quillmill.settings import PRESETS, Preset, Settings, corrections_from, presets_from
 
 
@@ -78,8 +79,8 @@ def test_tables(spark):
     got = [r[0] for r in rows.select(tables.markdown_table(F.col("r"), tables.CSV)).collect()]
     assert got == ["| a | b\\| |\n| --- | --- |\n| 1<br>2 |  |\n", "", ""]
     assert rows.limit(1).select(tables.markdown_table(F.col("r"), tables.WEB, F.lit(False))).first()[0].startswith("|  |  |\n| --- | --- |\n| a |")
-    cells = spark.createDataFrame([([(0, 1, "x"), (2, 0, "y"), (3, 0, "")],)], "c array<struct<row:int,col:int,value:string>>")
-    assert cells.select(tables.densified(F.col("c"))).first()[0] == [["", "x"], ["", ""], ["y", ""]]
+    cells = spark.createDataFrame([(1, 0, 1, "x"), (1, 2, 0, "y"), (1, 3, 0, ""), (2, 0, 0, None)], "s int, row int, col int, value string")
+    assert [tuple(r) for r in dense_sheets(cells, ["s"]).collect()] == [(1, [["", "x"], ["", ""], ["y", ""]])]
     pairs = spark.createDataFrame([([("a", "b|c")],)], "p array<struct<property:string,value:string>>")
     assert pairs.select(tables.property_table(F.col("p"))).first()[0] == "| Property | Value |\n| --- | --- |\n| a | b\\|c |\n"
 
