@@ -45,10 +45,10 @@ READERS: dict[str, Reader] = {
 OUTSIDE = frozenset(["pdf", "doc", "ppt", "xls", "heic", "heif"])
 
 
-def page_to_markdown(data: bytes) -> str:
+def page_to_markdown(data: bytes, escape_pipes: bool = True) -> str:
     if not data:
         raise ConversionError("empty_input")
-    return html.bytes_to_markdown(data)
+    return html.bytes_to_markdown(data, escape_pipes=escape_pipes)
 
 
 def image_to_markdown(data: bytes, name: str) -> str:
@@ -59,7 +59,7 @@ def image_to_markdown(data: bytes, name: str) -> str:
     return f"# {name}\n\n{images.property_table(properties)}\n"
 
 
-def convert_one(kind: str | None, data: bytes | None, name: str) -> tuple[str, str | None, str | None, str | None]:
+def convert_one(kind: str | None, data: bytes | None, name: str, escape_pipes: bool = True) -> tuple[str, str | None, str | None, str | None]:
     """(status, error, message, markdown); status is success, failed or unsupported."""
     if kind in OUTSIDE:
         return "unsupported", "needs_outside_engine", f"{kind} needs an outside engine", None
@@ -67,6 +67,8 @@ def convert_one(kind: str | None, data: bytes | None, name: str) -> tuple[str, s
     if reader is None:
         return "unsupported", "unsupported_format", f"no reader for {kind or 'files without extension'}", None
     try:
+        if kind in ("html", "htm"):
+            return "success", None, None, page_to_markdown(data or b"", escape_pipes)
         return "success", None, None, reader(data or b"", name)
     except ConversionError as e:
         return "failed", e.code, str(e), None
@@ -74,7 +76,7 @@ def convert_one(kind: str | None, data: bytes | None, name: str) -> tuple[str, s
         return "failed", "malformed", f"{type(e).__name__}: {e}", None
 
 
-def convert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def convert_batches(batches: Iterator[pa.RecordBatch], escape_pipes: bool = True) -> Iterator[pa.RecordBatch]:
     """Batches of (path, kind, name, content, error) to RESULT; a batch is cut so that its Markdown stays small."""
     names = [c.split()[0] for c in RESULT.split(", ")]
     for batch in batches:
@@ -83,7 +85,7 @@ def convert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if error.as_py() is not None:
                 rows.append((path.as_py(), kind.as_py(), "failed", "unzip_failed", error.as_py(), None))
                 continue
-            done = convert_one(kind.as_py(), content.as_py(), name.as_py() or "")
+            done = convert_one(kind.as_py(), content.as_py(), name.as_py() or "", escape_pipes)
             rows.append((path.as_py(), kind.as_py(), *done))
             held += len(done[-1] or "")
             if held > 16 << 20:
@@ -97,14 +99,15 @@ def convert(files: DataFrame, settings: Settings | None = None, path_col: str =
     """``files`` (path, content) as rows of RESULT; archives give a row for each convertible entry.
 
     The map has no shuffle. Archives are unpacked by a map of their own, so that entries of a large one spread when the
-    caller deals them out again.
+    caller deals them out again. Of the settings, ``escape_pipes`` says whether pipes in web tables are protected.
     """
+    escape_pipes = settings is None or settings.escape_pipes
     kinds = with_kind(files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
     kinds = kinds.withColumn("error", F.lit(None).cast("string"))
     entries = with_kind(batch_of(kinds.filter("kind = 'zip'"))).select("path", "content", "error", "kind")
     rows = kinds.filter("kind IS NULL OR kind <> 'zip'").select("path", "content", "error", "kind").unionByName(entries)
     rows = rows.select("path", "kind", base_name(F.col("path")).alias("name"), "content", "error")
-    return rows.mapInArrow(convert_batches, RESULT)
+    return rows.mapInArrow(lambda batches: convert_batches(batches, escape_pipes), RESULT)
 
 
 def jobs(results: DataFrame) -> DataFrame:

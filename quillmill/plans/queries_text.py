@@ -70,15 +70,14 @@ _text_query(
     (". ", ".\n * \nx\n"), (", ", ",\n—\n"),
 )
 _text_query("text_collapse_blank", text.collapse_blank_lines, "regexp_replace({x}, '\\n{3,}', chr(10)||chr(10), 'g')", *BREAKS)
-_text_query(
-    "text_to_markdown", lambda x: text.plain_text_to_markdown(x, F.lit("txt")),
-    "CASE WHEN y LIKE '%' || chr(10) THEN y ELSE y || chr(10) END", *BREAKS,
-)
-ORACLE_SQL["text_to_markdown"] = (
-    f"WITH a AS (SELECT doc_id, regexp_replace({_put_sql('coalesce(text, chr(0)[2:])', *BREAKS)}, '\\r\\n?', chr(10), 'g') AS x FROM documents), "
-    f"b AS (SELECT doc_id, {whitespace_sql('x')} AS y FROM a) "
-    "SELECT doc_id, CASE WHEN ends_with(y, chr(10)) THEN y ELSE y || chr(10) END AS text FROM b"
-).replace("coalesce(text, chr(0)[2:])", "coalesce(text, '')")
+QUERIES["text_to_markdown"] = lambda spark, sf_dir: _documents(spark, sf_dir).select(
+    "doc_id", text.plain_text_to_markdown(_put(F.col("text"), *BREAKS), F.lit("txt")).alias("text")
+)
+ORACLE_SQL["text_to_markdown"] = f"""
+WITH a AS (SELECT doc_id, regexp_replace({_put_sql("coalesce(text, '')", *BREAKS)}, '\\r\\n?', chr(10), 'g') AS x FROM documents),
+b AS (SELECT doc_id, {whitespace_sql("x")} AS y FROM a)
+SELECT doc_id, CASE WHEN ends_with(y, chr(10)) THEN y ELSE y || chr(10) END AS text FROM b
+"""
 _text_query(
     "text_strip_tags", lambda x: F.coalesce(text.title_in_html(x), F.lit("")),
     "coalesce(nullif(trim(regexp_replace(regexp_extract({x}, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), ''), "

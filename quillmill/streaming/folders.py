@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -27,23 +28,23 @@ def watched(spark: SparkSession, folder: str, archive: str | None = None, files_
 
 def convert_stream(
     files: DataFrame, output: str, checkpoint: str, settings: Settings | None = None, dictionary: str | None = None,
-    also: Callable[[DataFrame, int], None] | None = None, once: bool = False,
+    also: Callable[[DataFrame, int, Settings], None] | None = None, once: bool = False,
 ) -> StreamingQuery:
     """Convert every file once, across restarts, to Parquet folders by batch below ``output``.
 
     A batch that runs again replaces its own folder. Files that can't be converted are rows with an error and are not
-    tried again. ``dictionary`` is read anew for each batch; ``also`` gets each batch's results.
+    tried again. ``also`` gets each batch's results, its number and the settings, with ``dictionary`` read anew.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         held = settings or Settings()
         if dictionary:
-            held = Settings(corrections=load_dictionary(spark, dictionary), preset=held.preset)
+            held = replace(held, corrections=load_dictionary(spark, dictionary))
         place = f"{output}/batch={number}"
         convert(batch, held).write.mode("overwrite").parquet(place)
         if also:
-            also(spark.read.parquet(place), number)
+            also(spark.read.parquet(place), number, held)
 
     writer = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

@@ -140,8 +140,14 @@ def test_stream_converts_each_file_once(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("one")
     (tmp_path / "in" / "b.exe").write_text("no")
 
+    (tmp_path / "words.json").write_text('{"word_replacements": {"a": "b"}}')
+    seen = []
+
     def run():
-        query = convert_stream(watched(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), once=True)
+        query = convert_stream(
+            watched(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), dictionary=str(tmp_path / "words.json"),
+            also=lambda rows, number, held: seen.append((rows.count(), held.corrections.word_replacements)), once=True,
+        )
         query.awaitTermination()
 
     run()
@@ -150,6 +156,7 @@ def test_stream_converts_each_file_once(spark, tmp_path):
     run()
     rows = spark.read.parquet(str(tmp_path / "out")).select("path", "markdown").collect()
     assert sorted((r.path.rpartition("/")[2], r.markdown) for r in rows) == [("a.txt", "one\n"), ("c.md", "two\n")]
+    assert seen == [(1, {"a": "b"}), (1, {"a": "b"})]
 
 
 def test_command_line(spark, folder, tmp_path, capsys):
