@@ -30,37 +30,51 @@ from .shared import Scratch, text_or_empty
 
 LOTS = 64
 HELD_HOSTS = 500
-#: Pages that must share a text before it counts as the host's own.
+#: Pages of different content that must share a text before it counts as the host's own.
 SHARED_BY = 3
 
-# A wrapper's node: [key, repeated, optional, pages, content, text, weight]. A text's key is "#"; its text is the hash
-# of its value, or None for a slot. Lists, not objects: they are written as JSON.
-KEY, REPEATED, OPTIONAL, PAGES, CONTENT, TEXT, WEIGHT = range(7)
+# A wrapper's node: [key, repeated, optional, pages, content, text, weight, seen]. A text's key is "#"; its text is the
+# hash of its value, or None for a slot. Seen are the least SHARED_BY hashes of the contents of pages that hold the
+# node, for texts that aren't slots and for whole pages. Lists, not objects: they are written as JSON.
+KEY, REPEATED, OPTIONAL, PAGES, CONTENT, TEXT, WEIGHT, SEEN = range(8)
 
 
 def _text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 11
 
 
-def wrapper_of(element: Element) -> list:
+def wrapper_of(page: Element) -> list:
     """The wrapper of one page. Elements outside of articles stand without their content."""
-    content, run = [], []
-
-    def flush() -> None:
-        text = " ".join("".join(run).split())
-        run.clear()
-        if text:
-            content.append(["#", False, False, 1, [], _text_hash(text), len(text)])
-
-    for part in element.parts:
-        if isinstance(part, str):
-            run.append(part)
-        else:
-            flush()
-            content.append([part.key, False, False, 1, [], None, 0] if part.outside else wrapper_of(part))
-    flush()
-    folded = fold(content)
-    return [element.key, False, False, 1, folded, None, sum(n[WEIGHT] for n in folded)]
+    seen: list[int] = []  # one list for all of the page's texts; its hash is known at the end
+    texts: list[int] = []
+
+    def walk(element: Element) -> list:
+        content, run = [], []
+
+        def flush() -> None:
+            text = " ".join("".join(run).split())
+            run.clear()
+            if text:
+                texts.append(_text_hash(text))
+                content.append(["#", False, False, 1, [], texts[-1], len(text), seen])
+
+        for part in element.parts:
+            if isinstance(part, str):
+                run.append(part)
+            else:
+                flush()
+                content.append([part.key, False, False, 1, [], None, 0, []] if part.outside else walk(part))
+        flush()
+        return [element.key, False, False, 1, content, None, sum(n[WEIGHT] for n in content), []]
+
+    def folded(node: list) -> list:
+        node[CONTENT] = fold([folded(n) for n in node[CONTENT]])
+        return node
+
+    whole = walk(page)
+    seen.append(_text_hash(repr(texts)))
+    whole[SEEN] = seen
+    return folded(whole)
 
 
 def fold(content: list) -> list:
@@ -79,9 +93,10 @@ def fold(content: list) -> list:
 def merged(a: list, b: list) -> list:
     """The least wrapper that takes what ``a`` takes and what ``b`` takes; both have the same key."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
+    seen = a[SEEN] if a[SEEN] == b[SEEN] else sorted({*a[SEEN], *b[SEEN]})[:SHARED_BY]
     return [
         a[KEY], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], a[PAGES] + b[PAGES], aligned(a[CONTENT], b[CONTENT]), text,
-        a[WEIGHT] + b[WEIGHT],
+        a[WEIGHT] + b[WEIGHT], [] if a[KEY] == "#" and text is None else seen,
     ]
 
 
@@ -131,7 +146,7 @@ def rules_of(wrapper: list) -> Rules:
         weight = 0
         for child in node[CONTENT]:
             if child[KEY] == "#":
-                if child[TEXT] is not None and child[PAGES] >= SHARED_BY and not child[REPEATED]:
+                if child[TEXT] is not None and len(child[SEEN]) >= SHARED_BY and not child[REPEATED]:
                     constants.add((path, child[TEXT]))
                 else:
                     weight += child[WEIGHT]

@@ -104,6 +104,16 @@ def test_wrappers_without_article(spark):
     assert len(row) == 1 and row[0].host == "e.org"
 
 
+def texts_of(spark, htmls):
+    rows = [(k, f"http://e.org/{k}", html) for k, html in enumerate(htmls)]
+    return [r.text for r in sorted(extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_copies_of_a_page_are_not_boilerplate(spark):
+    assert texts_of(spark, ["<body><h1>T</h1><p>x</p></body>"] * 5) == ["T\nx"] * 5
+    assert texts_of(spark, ["<body><h1>T</h1><p>x</p><p>y</p></body>"] * 4 + ["<body><h1>T</h1><p>z</p></body>"]) == ["T\nx\ny"] * 4 + ["T\nz"]
+
+
 def test_wrapper_parts():
     one, two = (wrapper_of(tree_of(x)) for x in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><h2>n</h2><p>x</p>"))
     whole = merged(one, two)
