@@ -137,7 +137,8 @@ class Rules:
 
 
 def rules_of(wrapper: list) -> Rules:
-    """The article is where pages have an article or main element, else the deepest group of blocks with most slot text."""
+    """The article is in article and main elements, if these hold half of the host's slot text or the host has too few
+    pages to tell; else it is the deepest group of blocks with most slot text."""
     named: dict[tuple[str, ...], int] = {}
     constants = set()
     slots: dict[tuple[str, ...], int] = {}
@@ -160,9 +161,10 @@ def rules_of(wrapper: list) -> Rules:
         return weight
 
     total = walk(wrapper, ())
-    if named:
+    held = sum(w for p, w in named.items() if not any(p[:k] in named for k in range(1, len(p))))
+    if named and (len(wrapper[SEEN]) < SHARED_BY or held * 2 >= total):
         top = max(named.values())
-        roots = {p for p, w in named.items() if w * 10 >= top}
+        roots = {p for p, w in named.items() if w and w * 10 >= top}
     else:
         inner = [p for p, w in slots.items() if w * 10 >= total * 7]
         roots = {max(inner, key=len)} if total else set()
@@ -170,12 +172,11 @@ def rules_of(wrapper: list) -> Rules:
 
 
 def main_text(html: str, rules: Rules) -> str:
-    """The article of a page, blocks parted by one newline."""
+    """The article of a page by its host's rules, blocks parted by one newline; article and main elements without rules."""
     tree = tree_of(html)
-    found: list[tuple[Element, tuple[str, ...]]] = []
 
-    def look(element: Element, path: tuple[str, ...], wanted) -> None:
-        todo = [(element, path)]
+    def look(wanted) -> list[tuple[Element, tuple[str, ...]]]:
+        found, todo = [], [(tree, ())]
         while todo:
             here, where = todo.pop()
             if wanted(here, where):
@@ -183,20 +184,16 @@ def main_text(html: str, rules: Rules) -> str:
                 continue
             below = [(p, (*where, p.key)) for p in here.parts if not isinstance(p, str) and not p.outside]
             todo.extend(reversed(below))
-
-    look(tree, (), lambda e, p: e.tag in ("article", "main"))
-    if found:
-        texts = [blocks_of(e) for e, _ in found]
-        return "\n".join(max(texts, key=lambda blocks: sum(map(len, blocks))))
-    look(tree, (), lambda e, p: p in rules.roots)
-    shared = rules.constants
+        return found
 
     def skip(path: tuple[str, ...], text: str) -> bool:
-        return (path, _text_hash(text)) in shared
+        return (path, _text_hash(text)) in rules.constants
 
-    if found:
-        return "\n".join(block for e, p in found for block in blocks_of(e, skip, p))
-    return "\n".join(blocks_of(tree, skip))
+    if rules == Rules(frozenset(), frozenset()):  # no text by which a wrapper could tell
+        found = look(lambda e, p: e.tag in ("article", "main"))
+        return "\n".join(max((blocks_of(e) for e, _ in found), key=lambda blocks: sum(map(len, blocks)), default=blocks_of(tree)))
+    blocks = [block for e, p in look(lambda e, p: p in rules.roots) for block in blocks_of(e, skip, p)]
+    return "\n".join(blocks or blocks_of(tree, skip))
 
 
 def host_of(url: Column) -> Column:

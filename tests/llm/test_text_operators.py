@@ -114,6 +114,13 @@ def test_copies_of_a_page_are_not_boilerplate(spark):
     assert texts_of(spark, ["<body><h1>T</h1><p>x</p><p>y</p></body>"] * 4 + ["<body><h1>T</h1><p>z</p></body>"]) == ["T\nx\ny"] * 4 + ["T\nz"]
 
 
+def test_wrappers_decide_over_article_elements(spark):
+    inside = [f"<article><h1>T {k}</h1><div class=by>Our newsroom</div><p>{'w ' * 9}{k}</p></article>" for k in range(5)]
+    assert texts_of(spark, inside) == [f"T {k}\n{'w ' * 9}{k}" for k in range(5)]
+    beside = [f"<body><div class=story><h2>S</h2><p>{'long ' * 40}{k}</p><p>end {k}</p></div><article>see {k}</article></body>" for k in range(5)]
+    assert all(f"long {k}\nend {k}" in text for k, text in enumerate(texts_of(spark, beside)))
+
+
 def test_wrapper_parts():
     one, two = (wrapper_of(tree_of(x)) for x in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><h2>n</h2><p>x</p>"))
     whole = merged(one, two)
