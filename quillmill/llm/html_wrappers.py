@@ -163,8 +163,7 @@ def rules_of(wrapper: list) -> Rules:
     total = walk(wrapper, ())
     held = sum(w for p, w in named.items() if not any(p[:k] in named for k in range(1, len(p))))
     if named and (len(wrapper[SEEN]) < SHARED_BY or held * 2 >= total):
-        top = max(named.values())
-        roots = {p for p, w in named.items() if w and w * 10 >= top}
+        roots = {p for p, w in named.items() if w}
     else:
         inner = [p for p, w in slots.items() if w * 10 >= total * 7]
         roots = {max(inner, key=len)} if total else set()

@@ -121,6 +121,13 @@ def test_wrappers_decide_over_article_elements(spark):
     assert all(f"long {k}\nend {k}" in text for k, text in enumerate(texts_of(spark, beside)))
 
 
+def test_articles_are_joined(spark):
+    split = "<body><main><p>{0} a</p></main><article class=post><p>{1} {0}</p></article><article class=post><p>c {0}</p></article></body>"
+    want = [f"{k} a\n{'b ' * 50}{k}\nc {k}" for k in range(4)]
+    assert texts_of(spark, [split.format(k, ("b " * 50).strip()) for k in range(4)]) == want
+    assert texts_of(spark, [split.format(0, ("b " * 50).strip())]) == want[:1]  # one page tells nothing apart
+
+
 def test_wrapper_parts():
     one, two = (wrapper_of(tree_of(x)) for x in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><h2>n</h2><p>x</p>"))
     whole = merged(one, two)
