@@ -138,7 +138,7 @@ class Rules:
 
 def rules_of(wrapper: list) -> Rules:
     """The article is in article and main elements, if these hold half of the host's slot text or the host has too few
-    pages to tell; else it is the deepest group of blocks with most slot text."""
+    pages to tell; else it is the deepest group of blocks that holds all slot text."""
     named: dict[tuple[str, ...], int] = {}
     constants = set()
     slots: dict[tuple[str, ...], int] = {}
@@ -165,7 +165,7 @@ def rules_of(wrapper: list) -> Rules:
     if named and (len(wrapper[SEEN]) < SHARED_BY or held * 2 >= total):
         roots = {p for p, w in named.items() if w}
     else:
-        inner = [p for p, w in slots.items() if w * 10 >= total * 7]
+        inner = [p for p, w in slots.items() if w == total]
         roots = {max(inner, key=len)} if total else set()
     return Rules(frozenset(roots), frozenset(constants))
 

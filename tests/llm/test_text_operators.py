@@ -128,6 +128,12 @@ def test_articles_are_joined(spark):
     assert texts_of(spark, [split.format(0, ("b " * 50).strip())]) == want[:1]  # one page tells nothing apart
 
 
+def test_text_beside_the_largest_group_stays(spark):
+    post = "<body><div class=top>Site</div><div class=post><h1>Title {0}</h1><div class=intro><p>in {0}</p></div><div class=text>{1}</div></div></body>"
+    pages = [post.format(k, f"<p>{'w ' * 60}{k}</p><p>z {k}</p>") for k in range(4)]
+    assert texts_of(spark, pages) == [f"Title {k}\nin {k}\n{'w ' * 60}{k}\nz {k}" for k in range(4)]
+
+
 def test_wrapper_parts():
     one, two = (wrapper_of(tree_of(x)) for x in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><h2>n</h2><p>x</p>"))
     whole = merged(one, two)
