@@ -25,7 +25,7 @@ ENDS = {
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 #: Elements that never hold article text; header and footer count only outside an article.
-NEVER = frozenset("head nav aside form button select option dialog menu noscript template svg math object canvas audio video fieldset".split())
+NEVER = frozenset("head nav aside button select option dialog menu noscript template svg math object canvas audio video fieldset".split())
 #: Words of class and id that mark what surrounds an article, and of role.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -33,22 +33,33 @@ MARKS = frozenset(
     "sharing social breadcrumb breadcrumbs related recommended newsletter subscribe subscription popup modal overlay widget toolbar "
     "pagination pager masthead topbar skip".split()
 )
+#: Those of them that mark comments and teasers, whatever element has them.
+ASIDES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies "
+    "respond related recommended newsletter cookie cookies consent gdpr".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
+_LAYOUT = re.compile(r"(?<![a-z])(?:no|not|without|with|has|hide|show)[-_]+[a-z]+")
 
 
 @dataclass
 class Element:
-    """A block element; ``parts`` holds elements and texts (with character references decoded) in page order."""
+    """A block element; ``parts`` holds elements and texts (with character references decoded) in page order.
+
+    ``marked`` is "!" for comments and teasers, "~" for other words and forms that may surround an article, and begins
+    the key: the host's wrapper says whether such an element holds article text after all.
+    """
 
     key: str
     tag: str
     outside: bool
     article: bool
+    marked: str = ""
     parts: list = field(default_factory=list)
 
 
@@ -70,10 +81,18 @@ def is_outside(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     style = attrs.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
         return True
+    return False
+
+
+def mark_of(tag: str, attrs: dict[str, str]) -> str:
+    """What class, id or a form say of an element, see Element; words of a layout such as no-sidebar say nothing."""
     if tag in ("html", "body", "main"):
-        return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return not MARKS.isdisjoint(_WORDS.findall(named))
+        return ""
+    named = _LAYOUT.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()) if attrs else ""
+    words = MARKS.intersection(_WORDS.findall(named)) if named else ()
+    if words and not ASIDES.isdisjoint(words):
+        return "!"
+    return "~" if tag == "form" or (words and tag != "article") else ""
 
 
 def _key(tag: str, attrs: dict[str, str]) -> str:
@@ -144,7 +163,9 @@ def tree_of(html: str) -> Element:
             if tag in BLOCK or tag in NEVER:
                 _imply(stack, tag)
                 parent = stack[-1]
-                element = Element(_key(tag, attrs), tag, is_outside(tag, attrs, parent.article), parent.article or tag in ("article", "main"))
+                marked = mark_of(tag, attrs)
+                inside_article = parent.article or tag in ("article", "main")
+                element = Element(marked + _key(tag, attrs), tag, is_outside(tag, attrs, parent.article), inside_article, marked)
                 parent.parts.append(element)
                 if not inside.rstrip().endswith("/") or tag in BLOCK:
                     stack.append(element)
@@ -178,8 +199,13 @@ def _close(stack: list[Element], tag: str) -> None:
             return
 
 
-def blocks_of(element: Element, skip=lambda path, text: False, path: tuple[str, ...] = ()) -> list[str]:
-    """The texts of blocks in page order, white space made one space, without elements that are outside.
+def shut(element: Element, path: tuple[str, ...]) -> bool:
+    """Elements that are outside, and all that are marked."""
+    return element.outside or bool(element.marked)
+
+
+def blocks_of(element: Element, skip=lambda path, text: False, path: tuple[str, ...] = (), closed=shut) -> list[str]:
+    """The texts of blocks in page order, white space made one space, without elements that are ``closed``.
 
     ``skip`` drops a block by the path of its element and its text.
     """
@@ -196,9 +222,10 @@ def blocks_of(element: Element, skip=lambda path, text: False, path: tuple[str,
                 continue
             _emit(run, out, skip, where)
             run = []
-            if not part.outside:
+            below = (*where, part.key)
+            if not closed(part, below):
                 todo.append((here, where, k, run))
-                todo.append((part, (*where, part.key), 0, []))
+                todo.append((part, below, 0, []))
                 ended = True
                 break
         if not ended:

@@ -44,26 +44,28 @@ def _text_hash(text: str) -> int:
 
 
 def wrapper_of(page: Element) -> list:
-    """The wrapper of one page. Elements outside of articles stand without their content."""
+    """The wrapper of one page. Elements outside of articles stand without their content, marked ones with it."""
     seen: list[int] = []  # one list for all of the page's texts; its hash is known at the end
     texts: list[int] = []
 
-    def walk(element: Element) -> list:
+    def walk(element: Element, marked: bool = False) -> list:
         content, run = [], []
 
         def flush() -> None:
             text = " ".join("".join(run).split())
             run.clear()
             if text:
-                texts.append(_text_hash(text))
-                content.append(["#", False, False, 1, [], texts[-1], len(text), seen])
+                value = _text_hash(text)
+                if not marked:
+                    texts.append(value)
+                content.append(["#", False, False, 1, [], value, len(text), seen])
 
         for part in element.parts:
             if isinstance(part, str):
                 run.append(part)
             else:
                 flush()
-                content.append([part.key, False, False, 1, [], None, 0, []] if part.outside else walk(part))
+                content.append([part.key, False, False, 1, [], None, 0, []] if part.outside else walk(part, marked or bool(part.marked)))
         flush()
         return [element.key, False, False, 1, content, None, sum(n[WEIGHT] for n in content), []]
 
@@ -130,10 +132,48 @@ def _optional(node: list) -> list:
 
 @dataclass(frozen=True)
 class Rules:
-    """What a wrapper says of its host: paths of the article, and texts that are the same on its pages, by path."""
+    """What a wrapper says of its host: paths of the article, texts that are the same on its pages, by path, and paths of
+    marked elements that hold article text."""
 
     roots: frozenset[tuple[str, ...]]
     constants: frozenset[tuple[tuple[str, ...], int]]
+    opened: frozenset[tuple[str, ...]] = frozenset()
+
+
+def _is_article(key: str) -> bool:
+    return key.split(".")[0].lstrip("~!") in ("article", "main")
+
+
+def opened_of(wrapper: list) -> frozenset[tuple[str, ...]]:
+    """Paths of marked elements that hold article text. If the host has article elements out of marked ones, only those
+    that hold most varying text and aren't marked as comments or teasers; else all that hold an article or most text."""
+    marked: dict[tuple[str, ...], tuple[int, bool]] = {}
+    plain = 0
+
+    def walk(node: list, path: tuple[str, ...], inside: bool, named: bool) -> tuple[int, bool]:
+        nonlocal plain
+        weight, holds = 0, False
+        for child in node[CONTENT]:
+            if child[KEY] == "#":
+                varies = child[TEXT] is None or len(child[SEEN]) < SHARED_BY
+                weight += child[WEIGHT] * varies
+                plain += child[WEIGHT] * (varies and named and not inside)
+                continue
+            below, mark = (*path, child[KEY]), child[KEY][:1] in ("~", "!")
+            article = _is_article(child[KEY])
+            more, held = walk(child, below, inside or mark, named or article)
+            held = held or (article and more > 0)
+            if mark:
+                old = marked.get(below, (0, False))
+                marked[below] = (old[0] + more, old[1] or held)
+            weight, holds = weight + more, holds or held
+        return weight, holds
+
+    total, _ = walk(wrapper, (), False, False)
+    many = len(wrapper[SEEN]) >= SHARED_BY
+    if plain:
+        return frozenset(p for p, (w, _) in marked.items() if many and w * 2 > total and not any(k[0] == "!" for k in p))
+    return frozenset(p for p, (w, holds) in marked.items() if holds or w * 2 > total)
 
 
 def rules_of(wrapper: list) -> Rules:
@@ -141,6 +181,7 @@ def rules_of(wrapper: list) -> Rules:
     pages to tell; else it is the deepest group of blocks that holds all slot text."""
     named: dict[tuple[str, ...], int] = {}
     constants = set()
+    opened = opened_of(wrapper)
     slots: dict[tuple[str, ...], int] = {}
 
     def walk(node: list, path: tuple[str, ...]) -> int:
@@ -153,11 +194,14 @@ def rules_of(wrapper: list) -> Rules:
                     weight += child[WEIGHT]
                 continue
             below = (*path, child[KEY])
-            if child[KEY].split(".")[0] in ("article", "main"):
-                named[below] = child[WEIGHT]
-            weight += walk(child, below)
+            if child[KEY][:1] in ("~", "!") and below not in opened:
+                continue
+            more = walk(child, below)
+            if _is_article(child[KEY]):
+                named[below] = named.get(below, 0) + more
+            weight += more
         if not path or any(child[KEY] != "#" for child in node[CONTENT]):
-            slots[path] = weight
+            slots[path] = slots.get(path, 0) + weight
         return weight
 
     total = walk(wrapper, ())
@@ -167,13 +211,16 @@ def rules_of(wrapper: list) -> Rules:
     else:
         inner = [p for p, w in slots.items() if w == total]
         roots = {max(inner, key=len)} if total else set()
-    return Rules(frozenset(roots), frozenset(constants))
+    return Rules(frozenset(roots), frozenset(constants), opened)
 
 
 def main_text(html: str, rules: Rules) -> str:
     """The article of a page by its host's rules, blocks parted by one newline; article and main elements without rules."""
     tree = tree_of(html)
 
+    def closed(element: Element, path: tuple[str, ...]) -> bool:
+        return element.outside or (bool(element.marked) and path not in rules.opened)
+
     def look(wanted) -> list[tuple[Element, tuple[str, ...]]]:
         found, todo = [], [(tree, ())]
         while todo:
@@ -181,8 +228,8 @@ def main_text(html: str, rules: Rules) -> str:
             if wanted(here, where):
                 found.append((here, where))
                 continue
-            below = [(p, (*where, p.key)) for p in here.parts if not isinstance(p, str) and not p.outside]
-            todo.extend(reversed(below))
+            below = [(p, (*where, p.key)) for p in here.parts if not isinstance(p, str)]
+            todo.extend(x for x in reversed(below) if not closed(*x))
         return found
 
     def skip(path: tuple[str, ...], text: str) -> bool:
@@ -191,8 +238,8 @@ def main_text(html: str, rules: Rules) -> str:
     if rules == Rules(frozenset(), frozenset()):  # no text by which a wrapper could tell
         found = look(lambda e, p: e.tag in ("article", "main"))
         return "\n".join(max((blocks_of(e) for e, _ in found), key=lambda blocks: sum(map(len, blocks)), default=blocks_of(tree)))
-    blocks = [block for e, p in look(lambda e, p: p in rules.roots) for block in blocks_of(e, skip, p)]
-    return "\n".join(blocks or blocks_of(tree, skip))
+    blocks = [block for e, p in look(lambda e, p: p in rules.roots) for block in blocks_of(e, skip, p, closed)]
+    return "\n".join(blocks or blocks_of(tree, skip, closed=closed))
 
 
 def host_of(url: Column) -> Column:

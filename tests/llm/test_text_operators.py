@@ -134,6 +134,19 @@ def test_text_beside_the_largest_group_stays(spark):
     assert texts_of(spark, pages) == [f"Title {k}\nin {k}\n{'w ' * 60}{k}\nz {k}" for k in range(4)]
 
 
+def test_marks_of_layout_keep_the_article(spark):
+    story = "<h1>T {0}</h1><p>" + "w " * 30 + "{0}</p>"
+    want = [f"T {k}\n{'w ' * 30}{k}" for k in range(4)]
+    for shape in (
+        "<div id=page class='no-sidebar'><article>%s</article></div>", "<div class='sidebar-page'><article>%s</article></div>",
+        "<article class='post has-sidebar'>%s</article>", "<form id=aspnet><div class=top>Site</div><main>%s</main></form>",
+        "<div class='widget'><div class=body>%s</div></div>",
+        "<article>%s</article><article class=comment><p>{0} first</p></article><div class=related><article>see {0}</article></div>",
+    ):
+        page = "<body>" + shape % story + "</body>"
+        assert texts_of(spark, [page.format(k) for k in range(4)]) == want
+
+
 def test_wrapper_parts():
     one, two = (wrapper_of(tree_of(x)) for x in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><h2>n</h2><p>x</p>"))
     whole = merged(one, two)
