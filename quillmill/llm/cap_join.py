@@ -6,7 +6,9 @@ directions that a vector matches are found by list decoding: partial sums over t
 words of the remaining parts can't reach alpha. Vectors that share a filter are compared by exact cosine.
 
 alpha follows from the number of vectors, so that unrelated vectors meet in buckets of about ``bucket`` rows at any
-size; the number of directions follows from alpha and the recall wanted for pairs at the threshold.
+size; the number of directions follows from alpha and the recall wanted for pairs at the threshold. They are dealt over
+many small codes, as directions of one code share words and miss pairs together; how many codes it takes is simulated
+with random pairs at the threshold.
 
 Equal vectors are one class. A bucket is compared in pairs of blocks of bounded size, each in a task of its own; a
 pair counts in the first filter that it shares. No pair is ever a row: a block returns, for each member, how many
@@ -35,6 +37,8 @@ from .shared import Scratch
 
 BLOCK_ROWS = 192
 DECODED_AT_ONCE = 256
+#: Where codes of very few components go on missing, no more are drawn.
+MOST_CODES = 256
 
 
 def cap_shares(dim: int, alpha: float, cosine: float, steps: int = 4000) -> tuple[float, float]:
@@ -59,7 +63,7 @@ class ProductCode:
     alpha: float
 
     @staticmethod
-    def fitted(dim: int, rows: int, threshold: float, recall: float, bucket: int = 64, most_words: int = 256, seed: int = 5) -> ProductCode:
+    def fitted(dim: int, rows: int, threshold: float, recall: float, bucket: int = 64, most_words: int = 4096, seed: int = 5) -> ProductCode:
         """For ``rows`` vectors of ``dim`` components."""
         wanted = min(0.25, bucket / max(rows, 1))
         low, high = 0.0, 0.999
@@ -97,6 +101,36 @@ class ProductCode:
         return vector, name
 
 
+def pairs_at(dim: int, cosine: float, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors (of two components at least) at one cosine."""
+    rng = np.random.default_rng(seed)
+    x, other = rng.normal(size=(2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * other
+
+
+def pairs_met(code: ProductCode, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each pair shares a filter of ``code``."""
+    met = np.zeros(len(x), bool)
+    for at in range(0, len(x), DECODED_AT_ONCE):
+        met[at + np.intersect1d(*((v << 40) + n for v, n in (code.decode(z[at : at + DECODED_AT_ONCE]) for z in (x, y)))).astype(int) // 2**40] = True
+    return met
+
+
+def codes_for(dim: int, rows: int, threshold: float, miss: float, missed: float, codes: int, bucket: int, pairs: int = 400) -> tuple[ProductCode, ...]:
+    """Independent codes, each with a ``codes``-th of the directions that ``miss`` asks for: as many as it takes until
+    simulated pairs at the threshold meet in none of them with a chance of ``missed`` at most."""
+    share, drawn, chance = 1 - miss ** (1 / codes), [], 1.0
+    while len(drawn) < (codes if dim == 1 else MOST_CODES) and chance > missed:
+        drawn.append(ProductCode.fitted(dim, rows, threshold, share, bucket, seed=len(drawn)))
+        if dim > 1:  # there are no pairs at a cosine in one dimension
+            met = pairs_met(drawn[-1], *pairs_at(dim, threshold, pairs, 1000 + len(drawn)))
+            chance *= max(1 - met.mean(), 0.5 / pairs)
+    return tuple(drawn)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([np.frombuffer(v, dtype=np.float64) for v in column.to_pylist()])
 
@@ -184,14 +218,14 @@ def _verifier(threshold: float):
 
 def cap_join(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, miss: float = 1e-8,
-    codes: int = 4, bucket: int = 64,
+    codes: int = 32, bucket: int = 64, missed: float = 1e-4,
 ) -> DataFrame:
     """One row for each row of ``vectors``: id, n_links, component_id.
 
     n_links counts the other vectors whose cosine is at least ``threshold``, component_id is the least id reachable
     over links. ``miss`` is the chance that a pair just at the threshold meets in no filter, if directions were drawn
-    one by one. The words of a product code are shared by many directions, so more pairs are missed than that: they are
-    dealt over ``codes`` independent codes (measured: 0.4 % of pairs just at the threshold, none of cosine 0.975).
+    one by one; it sets the directions of ``codes`` codes. The words of a code are shared by many directions, so more
+    pairs are missed than that: codes are drawn until the chance simulated with them is ``missed`` at most.
     """
     scratch = Scratch(vectors.sparkSession, "cap-join")
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("vector"))
@@ -206,8 +240,7 @@ def cap_join(
     links = None
     sizes = {r.dim: r["count"] for r in classes.groupBy("dim").count().collect()}  # lengths of vectors: a handful
     for dim, count in sorted(sizes.items()):
-        share = miss ** (1 / codes)
-        drawn = tuple(ProductCode.fitted(dim, count, threshold, 1 - share, bucket, seed=k) for k in range(codes))
+        drawn = codes_for(dim, count, threshold, miss, missed, codes, bucket)
         own = classes.filter(F.col("dim") == dim)
         decoded = own.select("cid", "vector").mapInArrow(Decode(drawn), "cid long, filters array<long>")
         decoded = scratch.save(decoded, f"decoded-{dim}")

@@ -206,6 +206,15 @@ def test_cap_join_blocks_and_empty(spark, monkeypatch):
     assert [tuple(r) for r in cap_join.cap_join(spark.createDataFrame([(1, None)], frame.schema)).collect()] == [(1, 0, 1)]
 
 
+def test_codes_miss_few_pairs_of_a_large_table():
+    x, y = cap_join.pairs_at(64, 0.95, 4000, 7)
+    assert np.allclose((x * y).sum(axis=1), 0.95)
+    met = np.zeros(len(x), bool)
+    for code in cap_join.codes_for(64, 615_000, 0.95, 1e-8, 1e-4, 32, 64):
+        met |= cap_join.pairs_met(code, x, y)
+    assert met.mean() > 0.999
+
+
 def test_list_decoding_is_complete():
     code = cap_join.ProductCode.fitted(12, 500, 0.95, 0.999)
     unit = np.random.default_rng(2).normal(size=(50, 12))
