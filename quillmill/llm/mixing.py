@@ -2,8 +2,9 @@
 
 Documents fall into cells of source, language and topic; values without a target share one cell each, so the number
 of cells is bounded by the targets. A cell's tokens are its starting weight. Raking scales the weights to each
-marginal in turn until all three hold. A cell's ratio of fitted to present tokens, scaled so that ``keep`` of the
-largest demand can be met, is the probability with which each of its documents stays; a hash of the document's
+marginal in turn until all three hold. A cell's ratio of fitted to present tokens, times ``keep``, is the probability
+with which each of its documents stays. ``mix`` rakes again where that is over 1, with such cells whole, and lowers
+``keep`` until the marginals hold; ``fit_mix`` alone only cuts it to 1, as the query's SQL does. A hash of the document's
 identifier draws, so that the same rows stay on every run. Sampling is a map over the rows; only the cell sums are
 shuffled, combined in each task first.
 
@@ -84,6 +85,41 @@ def rake(tokens: np.ndarray, marginals: list[np.ndarray], rounds: int = 25) -> n
     return weights
 
 
+def rake_within(tokens: np.ndarray, weights: np.ndarray, keep: float, rounds: int = 150, off: float = 1e-3) -> np.ndarray:
+    """Each cell's probability, at most 1, so that what stays has the marginals of ``weights`` to a share of ``off``.
+
+    ``keep`` is halved and brought near again until they hold; they do where no cell is asked for more than it has.
+    """
+    axes = range(weights.ndim)
+    others = [tuple(a for a in axes if a != axis) for axis in axes]
+    goals = [weights.sum(axis=o, keepdims=True) for o in others]
+    share = tokens / max(tokens.sum(), 1e-300)
+
+    def at(kept: float) -> np.ndarray | None:
+        most, free = share / kept, weights.copy()
+        for _ in range(rounds):
+            for o, goal in zip(others, goals, strict=True):
+                held = np.where(free >= most, most, 0.0).sum(axis=o, keepdims=True)
+                loose = np.where(free < most, free, 0.0).sum(axis=o, keepdims=True)
+                free = free * np.clip(np.divide(goal - held, loose, out=np.ones_like(goal), where=loose > 0), 0.1, 10)
+            now = np.minimum(free, most)
+            if all(np.abs(now.sum(axis=o, keepdims=True) - goal).max() <= off for o, goal in zip(others, goals, strict=True)):
+                return np.divide(now * kept, share, out=np.zeros_like(now), where=share > 0)
+        return None
+
+    ratio = np.divide(weights, share, out=np.zeros_like(share), where=share > 0).max()
+    low, high = min(keep, 1 / max(ratio, 1e-300)), keep
+    best = at(high)
+    if best is not None:
+        return np.minimum(best, 1.0)
+    best = np.divide(weights * low, share, out=np.zeros_like(share), where=share > 0)
+    for _ in range(12):
+        middle = (low + high) / 2
+        found = at(middle)
+        low, high, best = (low, middle, best) if found is None else (middle, high, found)
+    return np.minimum(best, 1.0)
+
+
 def share_of(target: dict[str, float], values: list[str], present: np.ndarray) -> np.ndarray:
     """Target shares of ``values`` that are present, summing to 1; OTHER without a target keeps its present share."""
     total = present.sum()
@@ -113,12 +149,13 @@ class Mix:
 
 
 def fit_mix(
-    docs: DataFrame, source: Column, lang: Column, topic: Column, tokens: Column, targets: Targets, keep: float = 0.5, rounds: int = 25
-) -> Mix:
+    docs: DataFrame, source: Column, lang: Column, topic: Column, tokens: Column, targets: Targets, keep: float = 0.5, rounds: int = 25,
+    within: bool = False,
+) -> Mix:
     """Rake the corpus's token counts to ``targets``.
 
     ``keep`` is the share of the corpus's tokens that the mix aims at; where cells can't give their part of that even
-    whole, they stay whole.
+    whole, they stay whole, and with ``within`` the others are raked again until the marginals hold.
     """
     columns = [folded(c, targets.of(d)).alias(d) for c, d in zip((source, lang, topic), DIMENSIONS, strict=True)]
     sums = docs.select(*columns, tokens.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
@@ -133,6 +170,8 @@ def fit_mix(
     ]
     weights = rake(cube, marginals, rounds)
     ratio = np.divide(weights * total * keep, cube, out=np.zeros_like(cube), where=cube > 0)
+    if within:
+        ratio = rake_within(cube, weights, keep)
     cells = []
     for key, n in sorted(found.items()):
         at = tuple(v.index(k) for v, k in zip(values, key, strict=True))
@@ -149,7 +188,7 @@ def mix(
     text = text_or_empty(docs[text_col])
     topic = topic_of(text) if topic is None else topic
     source, lang = docs[source_col].cast("string"), docs[lang_col].cast("string")
-    fitted = fit_mix(docs, source, lang, topic, tokens_of(text), targets, keep)
+    fitted = fit_mix(docs, source, lang, topic, tokens_of(text), targets, keep, within=True)
     probability = fitted.probability(source, lang, topic)
     return fitted, probability, uniform_of(docs[id_col], text) < probability
 

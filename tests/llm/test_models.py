@@ -211,6 +211,24 @@ def test_raking_meets_marginals():
         assert np.allclose(weights.sum(axis=tuple(a for a in range(3) if a != axis)), want)
 
 
+def test_raking_within_what_cells_have():
+    cube = np.random.default_rng(1).integers(1, 100, (4, 3, 2)).astype(float)
+    cube[0] *= 9
+    marginals = [np.full(4, 0.25), np.array([0.5, 0.3, 0.2]), np.array([0.8, 0.2])]
+    kept = cube * mixing.rake_within(cube, mixing.rake(cube, marginals), 0.5)
+    assert (kept <= cube).all() and kept.sum() > 0
+    for axis, want in enumerate(marginals):
+        assert np.allclose(kept.sum(axis=tuple(a for a in range(3) if a != axis)) / kept.sum(), want, atol=0.003)
+
+
+def test_mix_meets_targets_that_ask_for_more_than_cells_have(spark):
+    rows = [(k, "w " * 50, "en" if k % 10 else "de", "big" if k % 3 else "small") for k in range(3000)]
+    targets = mixing.Targets(source={"big": 0.5, "small": 0.5}, lang={"en": 0.7, "de": 0.3})
+    fitted, _, _ = mixing.mix(spark.createDataFrame(rows, DOCS), targets, keep=0.9)
+    kept = {c[:3]: c[3] * c[5] for c in fitted.cells}
+    assert abs(sum(n for c, n in kept.items() if c[1] == "de") / sum(kept.values()) - 0.3) < 0.01
+
+
 def test_mixing(spark):
     rows = [(k, "w " * 50, "en" if k % 4 else "de", "big" if k % 3 else "small") for k in range(6000)]
     rows += [(None, "a b", None, None), (1, None, "en", "big"), (1, "", "xx", "new")]
