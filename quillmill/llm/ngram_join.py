@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import Scratch, sha256, text_or_empty
+from .graph import components, heads_of
+from .shared import DigestFilter, Scratch, salted_join, sha256, text_or_empty
 
 WORD = re.compile(r"\w+")
 CACHED_WORDS = 400_000
 WORDS_AT_ONCE = 300_000
-BLOCK_ROWS, BLOCK_GRAMS = 192, 1_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 1024, 1_000_000
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 192) -> tuple[int, int]:
@@ -256,16 +256,20 @@ def ngram_join(
         ).filter("members > 1"),
         "buckets",
     )
-    stars = each.join(buckets, ["band", "value"]).select(F.col("cid").alias("u"), F.col("least").alias("v"))
+    held = buckets.withColumn("n", F.col("members"))
+    pairs = buckets.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    stars = salted_join(each.select("cid", "band", "value"), held.select("band", "value", "least", "n"), ["band", "value"], pairs)
+    stars = stars.select(F.col("cid").alias("u"), F.col("least").alias("v"))
     candidate = components(stars, scratch, "candidate").withColumnsRenamed({"node": "cid", "component": "comp"})
     members = scratch.save(classes.select("cid", "rep", "size", "grams", "bands").join(candidate, "cid"), "members")
     extent = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("grams").alias("total"))
     large = scratch.save(extent.filter((F.col("m") > BLOCK_ROWS) | (F.col("total") > BLOCK_GRAMS)).select("comp"), "large")
 
-    # The sets of the members, from their texts.
+    # The sets of the members, from their texts; only texts that a filter of the members' digests lets through are dealt.
     wanted = members.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.sha").alias("sha"))
+    marks = DigestFilter(wanted.select("sha"), wanted.count())
     same = (texts["sha"] == wanted["sha"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
-    found = texts.join(wanted, same).select("cid", "text").dropDuplicates(["cid"])
+    found = texts.filter(marks.may_hold(texts["sha"])).join(wanted, same).select("cid", "text").dropDuplicates(["cid"])
     sets = scratch.save(found.mapInArrow(GramSets(n), "cid long, set binary"), "sets")
 
     small = members.join(large, "comp", "left_anti").select(
@@ -275,7 +279,7 @@ def ngram_join(
     # Of buckets with the same members only the first counts; a large bucket is compared block by block.
     inside = members.join(large, "comp", "left_semi").select("cid", "size", "bands")
     own = inside.select("cid", "size", "bands", F.posexplode("bands").alias("band", "value"))
-    own = own.join(buckets.filter("members > 1"), ["band", "value"])
+    own = salted_join(own, held, ["band", "value"], pairs)
     firsts = buckets.groupBy("whose", "members", "least").agg(F.min("band").alias("band"))
     own = own.join(firsts, ["whose", "members", "least", "band"], "left_semi")
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("total") / BLOCK_GRAMS)).cast("int")
@@ -292,15 +296,18 @@ def ngram_join(
 
     reached = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v")), scratch, "verified")
     totals = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    groups = reached.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid")
-    heads = groups.groupBy("component").agg(F.min("rep").alias("head"))
-    linked = groups.join(heads, "component").join(totals, "cid").select("cid", "head", "links")
+    heads = heads_of(reached, classes.select(F.col("cid").alias("node"), F.col("rep").alias("rank")), scratch)
+    linked = heads.select(F.col("node").alias("cid"), "head").join(totals, "cid")
     known = classes.join(linked, "cid", "left").filter("size > 1 OR links IS NOT NULL").select(
         "key", "rep", "size", F.coalesce("head", "rep").alias("head"), F.coalesce("links", F.lit(0).cast("long")).alias("links")
     )
-    known = scratch.save(known, "known")
+    known = scratch.save(known.withColumn("n", F.col("size")), "known")
+    scratch.keep("signed", "known")
+    rows = signed.select("doc_id", "sha", "key", "rid")
+    # Texts without words have no key and aren't dealt with the others.
+    met = salted_join(rows.filter("key IS NOT NULL"), known, ["key"], signed.count(), "left")
     lone = F.col("size").isNull()
-    return signed.join(known, "key", "left").select(
+    linked = met.select(
         "doc_id", "sha",
         F.when(lone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("class_id"),
         F.coalesce("size", F.lit(1).cast("long")).alias("class_size"),
@@ -308,3 +315,8 @@ def ngram_join(
         F.when(lone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
         (lone | (F.col("rid") == F.col("head.rid"))).alias("kept"),
     )
+    empty = rows.filter("key IS NULL").select(
+        "doc_id", "sha", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"),
+        F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"),
+    )
+    return linked.unionByName(empty)
