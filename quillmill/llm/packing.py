@@ -3,8 +3,8 @@
 A document becomes the ids of its text and an end id. Whole sequences are cut off its front; the rest is one piece.
 The pieces' lengths, in classes of ``grain`` ids, form a histogram of bounded size. Column generation plans patterns
 of classes over that histogram (see cutting_stock). Pieces are ranked within their class and take the patterns'
-places in that order. A rank is the number of rows in earlier buckets of the class plus the rank within the bucket,
-so that a class that a third of all pieces share is dealt over many tasks.
+places in that order. A rank is the number of rows in earlier buckets of the class plus the rank within the bucket; a
+class has as many buckets as its rows ask for, so that one that a third of all pieces share is dealt over many tasks.
 
 Only piece records (a few numbers each) are written and shuffled, never texts or ids.
 
@@ -29,7 +29,8 @@ from .cutting_stock import plan
 from .shared import Scratch, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-BUCKETS = 64
+#: Rows of a class that are ranked in one group.
+BUCKET_ROWS = 1 << 15
 
 _encoders: dict[str, object] = {}
 
@@ -105,23 +106,23 @@ class CutIntoPieces:
 class TakePlaces:
     """Batches of (pid, class, rank in its bucket, bucket) to (pid, sequence_id); all tables are of bounded size.
 
-    ``before``: for (class, bucket) the number of pieces in earlier buckets. ``places``: for each class the first rank,
-    first sequence and items a bin of each pattern that holds it.
+    ``before``: for each class the number of pieces in earlier buckets, by bucket. ``places``: for each class the first
+    rank, first sequence and items a bin of each pattern that holds it.
     """
 
-    before: np.ndarray
+    before: dict[int, np.ndarray]
     places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, rank, bucket = (batch.column(n).to_numpy() for n in ("size", "rank", "bucket"))
-            rank = rank + self.before[size, bucket]
             sequence = np.zeros(len(size), dtype=np.int64)
             for one in np.unique(size):
                 at = size == one
                 first, base, each = self.places[int(one)]
-                k = np.searchsorted(first, rank[at], side="right") - 1
-                sequence[at] = base[k] + (rank[at] - first[k]) // each[k]
+                place = rank[at] + self.before[int(one)][bucket[at]]
+                k = np.searchsorted(first, place, side="right") - 1
+                sequence[at] = base[k] + (place - first[k]) // each[k]
             columns = [batch.column(n) for n in _KEPT]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence)], [*_KEPT, "sequence_id"])
 
@@ -161,17 +162,19 @@ def pack(
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     pieces = texts.mapInArrow(CutIntoPieces(tokenizer, capacity, end_id), PIECES)
     pieces = pieces.withColumn("pid", F.monotonically_increasing_id())
-    pieces = pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
-    pieces = scratch.save(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "pid"), F.lit(BUCKETS)).cast("int")), "pieces")
+    pieces = scratch.save(pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int")), "pieces")
 
     rest = pieces.filter(F.col("length") < capacity)
     units = capacity // grain
-    counts = np.zeros((units + 1, BUCKETS), dtype=np.int64)
-    for size, bucket, n in rest.groupBy("size", "bucket").count().collect():  # at most units * BUCKETS rows
-        counts[size, bucket] = n
-    demand = {s: int(n) for s, n in enumerate(counts.sum(axis=1)) if n}
+    demand = {size: int(n) for size, n in rest.groupBy("size").count().collect()}  # at most units rows
+    buckets = {size: -(-n // BUCKET_ROWS) for size, n in demand.items()}
+    many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(buckets.items()) for x in pair]), F.col("size")), F.lit(1)) if buckets else F.lit(1)
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "pid"), many).cast("int"))
+    counts = {size: np.zeros(n, np.int64) for size, n in buckets.items()}
+    for size, bucket, n in rest.groupBy("size", "bucket").count().collect():  # at most units + rows / BUCKET_ROWS rows
+        counts[size][bucket] = n
     places, sequences = _places(plan(demand, units))
-    before = np.cumsum(counts, axis=1) - counts
+    before = {size: np.cumsum(n) - n for size, n in counts.items()}
 
     ranking = Window.partitionBy("size", "bucket").orderBy(F.desc("length"), "doc_id", "start", "pid")
     ranked = rest.withColumn("rank", F.row_number().over(ranking).cast("long") - 1)
