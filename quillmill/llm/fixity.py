@@ -4,8 +4,9 @@ Records lie in files by offset. Every record has a digest; the records of an off
 fixed number of neighbouring nodes makes a node of the next level, up to a root for each file and one for the
 replica. Two replicas whose roots are equal hold the same bytes. Otherwise the audit descends: at each level it compares
 only the children of nodes that differ, down to the records. What is read from a replica is its digests; nodes are
-built by aggregation from leaves of bounded size, and no step gathers a file's records in one place but the running
-offsets of one file.
+built by aggregation from leaves of bounded size. Offsets are running sums in two steps, over parts of a file and within
+them, and records that are alike are counted first and laid out one after another, so that no file, identifier or content
+that a third of all records share is gathered in one place.
 
 Defined results. Null columns of a page are empty in its record. Pages without an identifier go to files of their own,
 by content. Repeated rows are records of their own at their own offsets. A replica without records differs in every
@@ -26,6 +27,8 @@ FANOUT = 16
 FILE_LEVELS, ARCHIVE_LEVELS = 4, 4
 PAGES_PER_FILE = 4096
 NULL_FILES = 64
+#: Records that are alike which one task writes out at once.
+LOT = 1 << 14
 
 
 def warc_record(page_id: Column, url: Column, payload: Column) -> Column:
@@ -48,9 +51,28 @@ def digest_of(record: Column) -> Column:
 
 
 def laid_out(records: DataFrame, order: list[str]) -> DataFrame:
-    """``records`` (file, length and more) with each one's offset in its file, in the order of ``order``."""
-    before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
+    """``records`` (file, length and more) with each one's offset in its file, in the order of ``order``.
+
+    The last column of ``order`` is text, and a file has a bounded number of values of the first. Records that are
+    alike in all columns lie side by side.
+    """
+    columns = records.columns
+    alike = records.groupBy(*columns).agg(F.count("*").alias("__n"))
+    first, prefix = F.col(order[0]).alias("__first"), F.substring(order[-1], 1, 2).alias("__prefix")
+    alike = alike.select(*columns, "__n", first, prefix).withColumn("__bytes", F.col("length") * F.col("__n"))
+    part = ["file", "__first", "__prefix"]
+    before = Window.partitionBy("file").orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = alike.groupBy(*part).agg(F.sum("__bytes").alias("__bytes"))
+    parts = parts.select(*[F.col(c).alias(f"{c}_") for c in part], F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("__within", F.coalesce(F.sum("__bytes").over(within), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in part]
+    placed = placed.join(parts, same).withColumn("__start", F.col("__base") + F.col("__within"))
+    # Long runs of records that are alike are cut, so that several tasks write them out.
+    lots = placed.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / LOT))))
+    lots = lots.withColumn("__last", F.least((F.col("__lot") + 1) * LOT, F.col("__n")) - 1)
+    lots = lots.repartition(*[F.col(c) for c in part], "__lot").withColumn("__k", F.explode(F.sequence(F.col("__lot") * LOT, F.col("__last"))))
+    return lots.select(*columns, (F.col("__start") + F.col("__k") * F.col("length")).cast("long").alias("offset"))
 
 
 def _node(keys: list[str], rows: DataFrame, position: str, line: Column) -> DataFrame:
