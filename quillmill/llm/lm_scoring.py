@@ -3,9 +3,9 @@
 1. Counts of all training tokens are summed in each task, then by token over the cluster.
 2. The commonest tokens have a class of their own; the others are classed by their last bytes. A token's probability
    is that of its class times its smoothed share of the class, so that the model is a proper distribution over words.
-3. The model's states are trained by Baum-Welch: every task sums expected counts over its documents, cut to segments,
-   and the sums by parameter make the next model. Its size is fixed; the counts cover all training documents each
-   round.
+3. The model's states are trained by Baum-Welch: every task sums expected counts over its whole documents, and the sums
+   by parameter make the next model. Its size is fixed; the counts cover all training documents each round. Training
+   ends when a round raises the likelihood by less than a share of it, or after the most rounds.
 4. A document's likelihood is computed exactly by the scaled forward recursion over the whole document.
 
 Counts of tokens that make up a share of at least ``common`` of the corpus (so at most 1 / common of them) go to
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +39,35 @@ END = b""
 OWN, ENDINGS = 256, 255
 CLASSES = OWN + ENDINGS + 1
 HELD_WORDS = 300_000
-STEPS = 64
-TOKENS_AT_ONCE = 1_000_000
-
-
-def tokens_of(text: str) -> list[bytes]:
-    """A-Z in lower case, parted by white space of ASCII, then one end token."""
-    return [*text.encode().lower().split(), END]
+#: Steps of a segment, see hmm, and tokens that are trained at once.
+STEPS = 2048
+TOKENS_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1 << 22
+
+
+def split_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Texts' tokens as A-Z in lower case, parted by white space of ASCII: (tokens of each text, places in the list of
+    distinct tokens, that list). End tokens are left to the caller."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, lengths = words.flatten(), pc.list_value_length(words).to_numpy()
+    some = pc.not_equal(pc.binary_length(flat), 0)  # white space at the ends makes empty parts
+    if not pc.all(some, min_count=0).as_py():
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        lengths = np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(lengths))
+        flat = flat.filter(some)
+    coded = flat.dictionary_encode()
+    return lengths.astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary()).to_pylist()
+
+
+def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that each part has about BYTES_AT_ONCE of text."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy()
+    low, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= BYTES_AT_ONCE or k == len(sizes) - 1:
+            yield batch.slice(low, k + 1 - low)
+            low, held = k + 1, 0
 
 
 def hash_of(token: bytes) -> int:
@@ -64,8 +87,10 @@ class CountTokens:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens_of(text.as_py()))
+            for part in parts_of(batch, 0):
+                lengths, places, words = split_of(part.column(0))
+                counts.update(dict(zip(words, np.bincount(places, minlength=len(words)).tolist(), strict=True)))
+                counts[END] += len(lengths)
                 if len(counts) > HELD_WORDS:
                     yield self._flushed(counts)
                     counts = Counter()
@@ -117,10 +142,11 @@ class _Known:
         self.logs = np.zeros(HELD_WORDS)
 
     def rows(self, tokens: list[bytes]) -> np.ndarray:
-        new = list(set(tokens).difference(self.row))
+        """The rows of distinct ``tokens``."""
+        new = [t for t in tokens if t not in self.row]
         if len(self.row) + len(new) > len(self.classes):
             self.row.clear()
-            new = list(set(tokens))
+            new = tokens
             if len(new) > len(self.classes):
                 self.classes, self.hashes, self.logs = (np.zeros(len(new), x.dtype) for x in (self.classes, self.hashes, self.logs))
         if new:
@@ -148,19 +174,18 @@ class Classify:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(self.vocabulary)
         for batch in batches:
-            texts, at = batch.column(2), 0
-            while at < len(texts):
-                split, total = [], 0
-                while at + len(split) < len(texts) and total < TOKENS_AT_ONCE // 4:
-                    split.append(tokens_of(texts[at + len(split)].as_py()))
-                    total += len(split[-1])
-                yield self._batch(batch.slice(at, len(split)), split, known)
-                at += len(split)
-
-    def _batch(self, batch: pa.RecordBatch, split: list[list[bytes]], known: _Known) -> pa.RecordBatch:
-        rows = known.rows([t for tokens in split for t in tokens])
-        lengths = np.array([len(t) for t in split])
+            for part in parts_of(batch, 2):
+                yield self._batch(part, known)
+
+    def _batch(self, batch: pa.RecordBatch, known: _Known) -> pa.RecordBatch:
+        words, places, distinct = split_of(batch.column(2))
+        held = known.rows([*distinct, END])
+        lengths = words + 1
         starts = np.cumsum(lengths) - lengths
+        rows = np.full(int(lengths.sum()), held[-1])
+        inner = np.ones(len(rows), bool)
+        inner[starts + words] = False
+        rows[inner] = held[places]
         classes, logs, hashes = known.classes[rows], known.logs[rows], known.hashes[rows]
         rare = np.isnan(logs)
         sums = np.add.reduceat(np.where(rare, 0.0, logs), starts)
@@ -245,11 +270,12 @@ def _vocabulary(counts: DataFrame, common: float) -> Vocabulary:
 
 def score_texts(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 8, rounds: int = 5,
-    common: float = 2e-6,
+    common: float = 2e-6, gain: float = 1e-3,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Scores are log10 probabilities of the whole text. Rows where ``held_out`` is true aren't learnt from.
+    Scores are log10 probabilities of the whole text. Rows where ``held_out`` is true aren't learnt from. Training takes
+    at most ``rounds`` rounds, and ends when one gains less than a share of ``gain`` of the log-likelihood.
     """
     scratch = Scratch(docs.sparkSession, "lm-scoring")
     rows = docs.select(
@@ -267,15 +293,17 @@ def score_texts(
 
     model = Hmm.fresh(vocabulary.class_tokens, states)
     training = classified.filter("NOT held_out").select("classes")
+    before = -math.inf
     for _ in range(rounds):
         sums = training.mapInArrow(Expect(model), "parameter int, value double").groupBy("parameter").agg(F.sum("value").alias("value"))
-        expected = np.zeros(model.parameters)
-        for parameter, value in sums.collect():  # a row for each parameter of the model
-            if parameter >= 0:
-                expected[parameter] = value
-        if not expected.any():
+        held = dict(sums.collect())  # a row for each parameter of the model
+        if not held:
+            break
+        likelihood = held.pop(-1)
+        model = model.maximised(np.array([held[k] for k in range(model.parameters)]))
+        if likelihood - before < gain * abs(likelihood):
             break
-        model = model.maximised(expected)
+        before = likelihood
 
     forward = Forward(model, vocabulary.class_logs())
     kept = "rid long, doc_id long, held_out boolean, n_tokens long, common_sum double, common_known long"
