@@ -40,6 +40,9 @@ ASIDES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
+#: Levels of elements that are told apart; deeper ones are blocks of the last. Marked ones and outsiders have more room.
+LEVELS, MARKED_LEVELS = 128, 192
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -61,6 +64,12 @@ class Element:
     article: bool
     marked: str = ""
     parts: list = field(default_factory=list)
+    level: int = 0
+    shares: bool = False
+
+
+def _break() -> Element:
+    return Element("hr", "hr", False, False)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -101,7 +110,10 @@ def _key(tag: str, attrs: dict[str, str]) -> str:
 
 
 def tree_of(html: str) -> Element:
-    """The page as a tree. Broken markup never fails: what isn't a tag is text, and missing end tags are implied."""
+    """The page as a tree. Broken markup never fails: what isn't a tag is text, and missing end tags are implied.
+
+    The tree has at most MARKED_LEVELS levels. Deeper elements share the parts of the one around them, parted as blocks.
+    """
     root = Element("", "", False, False)
     stack = [root]
     at, end = 0, len(html)
@@ -157,7 +169,7 @@ def tree_of(html: str) -> Element:
         if tag == "br":
             stack[-1].parts.append(" ")
         elif tag == "hr":
-            stack[-1].parts.append(Element("hr", "hr", False, False))
+            stack[-1].parts.append(_break())
         elif tag not in VOID:
             attrs = attributes(inside) if inside.strip(" /") else {}
             if tag in BLOCK or tag in NEVER:
@@ -165,8 +177,13 @@ def tree_of(html: str) -> Element:
                 parent = stack[-1]
                 marked = mark_of(tag, attrs)
                 inside_article = parent.article or tag in ("article", "main")
-                element = Element(marked + _key(tag, attrs), tag, is_outside(tag, attrs, parent.article), inside_article, marked)
-                parent.parts.append(element)
+                outside = is_outside(tag, attrs, parent.article)
+                if parent.level >= (MARKED_LEVELS if outside or marked else LEVELS):
+                    element = Element(parent.key, tag, parent.outside, inside_article, parent.marked, parent.parts, parent.level, True)
+                    parent.parts.append(_break())
+                else:
+                    element = Element(marked + _key(tag, attrs), tag, outside, inside_article, marked, level=parent.level + 1)
+                    parent.parts.append(element)
                 if not inside.rstrip().endswith("/") or tag in BLOCK:
                     stack.append(element)
     return root
@@ -176,7 +193,7 @@ def _imply(stack: list[Element], tag: str) -> None:
     if tag in BLOCK:
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag == "p":
-                del stack[depth:]
+                _cut(stack, depth)
                 break
             if stack[depth].tag in ("td", "th", "li", "div", "article", "section", "button", "object"):
                 break
@@ -189,13 +206,21 @@ def _imply(stack: list[Element], tag: str) -> None:
             if stack[depth].tag in ends:
                 cut = depth
         if cut is not None:
-            del stack[cut:]
+            _cut(stack, cut)
+
+
+def _cut(stack: list[Element], depth: int) -> None:
+    """Close the elements from ``depth`` on; what follows one that shares its parts is a block of its own."""
+    shares = stack[depth].shares
+    del stack[depth:]
+    if shares:
+        stack[-1].parts.append(_break())
 
 
 def _close(stack: list[Element], tag: str) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag == tag:
-            del stack[depth:]
+            _cut(stack, depth)
             return
 
 

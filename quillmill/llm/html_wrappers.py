@@ -2,21 +2,25 @@
 
 A wrapper is a union-free regular expression over a host's pages, held as a tree: an element, with its content in
 order, where a part may be optional or repeated, and a text is either the same on all pages or a slot. It starts as
-the host's first page. Every further page is aligned with it, level by level: equal neighbours become a repeated
-group, parts without a partner become optional, and texts that differ become slots.
+the host's first page. Every further page is aligned with it, level by level: equal neighbours, and equal runs of
+neighbours, become a repeated group, parts without a partner become optional, and texts that differ become slots.
 
 Tasks fold their pages into one wrapper for each host; these are merged in two steps, first by host and lot, so that
-a host with a third of all pages needs no task that reads them all. The finished wrapper names where the host's
+a host with a third of all pages needs no task that reads them all; wrappers are merged in the order of their text, so that
+the same pages give the same wrapper on every run. The finished wrapper names where the host's
 article lies and which texts are the same all over the host. A second pass takes each page apart with its host's
 wrapper, whose size does not grow with the host's pages.
 
 Defined results. A null html counts as empty and has no text. Null and odd urls share the host ''. Repeated rows are
-extracted each. Broken markup never fails. Tables may be empty, and other columns may have any name.
+extracted each. Broken markup never fails; elements nested deeper than LEVELS count as blocks of the one around them (see
+html_tree). Tables may be empty, and other columns may have any name.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +33,10 @@ from .html_tree import Element, blocks_of, tree_of
 from .shared import Scratch, text_or_empty
 
 LOTS = 64
+#: The longest run of neighbours that is looked for as a repeated group.
+LONGEST_GROUP = 8
+#: Alignments of more than so many pairs of parts are first cut where keys occur once on both sides.
+ALIGNED_PAIRS = 40_000
 HELD_HOSTS = 500
 #: Pages of different content that must share a text before it counts as the host's own.
 SHARED_BY = 3
@@ -80,18 +88,27 @@ def wrapper_of(page: Element) -> list:
 
 
 def fold(content: list) -> list:
-    """Equal neighbours as one repeated part."""
+    """Equal neighbours, and equal runs of neighbours, as one repeated group."""
     out: list = []
     for node in content:
-        if out and out[-1][KEY] == node[KEY]:
-            pages = out[-1][PAGES]
-            out[-1] = merged(out[-1], node)
-            out[-1][REPEATED], out[-1][PAGES] = True, pages
-        else:
-            out.append(node)
+        out.append(node)
+        again = True
+        while again:
+            again = False
+            for k in range(1, min(LONGEST_GROUP, len(out) // 2) + 1):
+                if out[-1][KEY] == out[-1 - k][KEY] and [n[KEY] for n in out[-2 * k : -k]] == [n[KEY] for n in out[-k:]]:
+                    out[-2 * k :] = [_repeated(x, y) for x, y in zip(out[-2 * k : -k], out[-k:], strict=True)]
+                    again = True
+                    break
     return out
 
 
+def _repeated(a: list, b: list) -> list:
+    node = merged(a, b)
+    node[REPEATED], node[PAGES] = True, a[PAGES]
+    return node
+
+
 def merged(a: list, b: list) -> list:
     """The least wrapper that takes what ``a`` takes and what ``b`` takes; both have the same key."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
@@ -103,27 +120,97 @@ def merged(a: list, b: list) -> list:
 
 
 def aligned(a: list, b: list) -> list:
-    """Two contents in one: the longest common run of keys is merged, the rest becomes optional."""
-    if [n[KEY] for n in a] == [n[KEY] for n in b]:
-        return [merged(x, y) for x, y in zip(a, b, strict=True)]
+    """Two contents in one: parts with the same keys in the same order are merged, the rest becomes optional."""
+    out: list = []
+    i = j = 0
+    for x, y in _partners([n[KEY] for n in a], [n[KEY] for n in b]):
+        out += [_optional(n) for n in a[i:x]] + [_optional(n) for n in b[j:y]]
+        out.append(merged(a[x], b[y]))
+        i, j = x + 1, y + 1
+    if len(a) == len(b) == len(out) and i == len(a):
+        return out
+    return fold(out + [_optional(n) for n in a[i:]] + [_optional(n) for n in b[j:]])
+
+
+def _partners(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal keys in both, rising: the longest common run, of small parts between keys that occur once."""
+    if a == b:
+        return [(k, k) for k in range(len(a))]
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    out = [(k, k) for k in range(low)]
+    out += [(x + low, y + low) for x, y in _between(a[low : len(a) - high], b[low : len(b) - high])]
+    return out + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
+
+
+def _between(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) * len(b) <= ALIGNED_PAIRS:
+        return _longest(a, b)
+    anchors = _rising(a, b)
+    if not anchors:  # no key to hold on to: the next equal one
+        out, at = [], 0
+        places: dict[str, list[int]] = {}
+        for y, key in enumerate(b):
+            places.setdefault(key, []).append(y)
+        for x, key in enumerate(a):
+            k = bisect_left(places.get(key, []), at)
+            if key in places and k < len(places[key]):
+                out.append((x, places[key][k]))
+                at = places[key][k] + 1
+        return out
+    out, i, j = [], 0, 0
+    for x, y in [*anchors, (len(a), len(b))]:
+        part = (a[i:x], b[j:y])
+        inner = _longest(*part) if len(part[0]) * len(part[1]) <= ALIGNED_PAIRS else []
+        out += [(i + p, j + q) for p, q in inner]
+        if x < len(a):
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return out
+
+
+def _rising(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of keys that occur once in both, the longest rising run of them."""
+    count_a, count_b = Counter(a), Counter(b)
+    place = {key: y for y, key in enumerate(b) if count_b[key] == 1}
+    pairs = [(x, place[key]) for x, key in enumerate(a) if count_a[key] == 1 and key in place]
+    ends: list[int] = []  # place in b that ends the best run of each length
+    last: list[int] = []
+    back: list[int] = []
+    for k, (_, y) in enumerate(pairs):
+        n = bisect_left(ends, y)
+        back.append(last[n - 1] if n else -1)
+        ends[n : n + 1] = [y]
+        last[n : n + 1] = [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     rows, columns = len(a), len(b)
     best = [[0] * (columns + 1) for _ in range(rows + 1)]
     for i in range(rows - 1, -1, -1):
         for j in range(columns - 1, -1, -1):
-            same = a[i][KEY] == b[j][KEY]
-            best[i][j] = best[i + 1][j + 1] + 1 if same else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < rows or j < columns:
-        if i < rows and j < columns and a[i][KEY] == b[j][KEY]:
-            out.append(merged(a[i], b[j]))
+    while i < rows and j < columns:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= columns or (i < rows and best[i + 1][j] >= best[i][j + 1]):
-            out.append(_optional(a[i]))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append(_optional(b[j]))
             j += 1
-    return fold(out)
+    return out
 
 
 def _optional(node: list) -> list:
@@ -273,8 +360,8 @@ class Infer:
 def merge_wrappers(table: pa.Table) -> pa.Table:
     """Several wrappers of one host to one."""
     whole = None
-    for text in table.column("wrapper"):
-        wrapper = json.loads(text.as_py())
+    for text in sorted(table.column("wrapper").to_pylist()):
+        wrapper = json.loads(text)
         whole = wrapper if whole is None else merged(whole, wrapper)
     return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([_packed(whole)])})
 
@@ -301,7 +388,7 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch, url_col: str = "url", htm
     """(host, wrapper) for each host of ``pages``."""
     rows = pages.select(host_of(pages[url_col]).alias("host"), text_or_empty(pages[html_col]).alias("html"))
     parts = rows.mapInArrow(Infer(), "host string, wrapper string")
-    parts = scratch.save(parts.withColumn("lot", (F.rand(1) * LOTS).cast("int")), "parts")
+    parts = scratch.save(parts.withColumn("lot", F.pmod(F.xxhash64("wrapper"), F.lit(LOTS)).cast("int")), "parts")
     lots = parts.groupBy("host", "lot").applyInArrow(lambda t: merge_wrappers(t), "host string, wrapper string")
     return scratch.save(lots.groupBy("host").applyInArrow(lambda t: merge_wrappers(t), "host string, wrapper string"), "wrappers")
 
