@@ -34,12 +34,19 @@ DATES = (
     rf"\d{{1,2}}\s+{_MONTH}\s+\d{{4}}",
     rf"{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}",
 )
-#: Labels that stand before a field's value; longer ones are looked for first.
+#: Labels that stand before a field's value.
 LABELS = (
-    "International Publication Date", "International Filing Date", "Publication Date", "Designated States", "Filing Date", "Applicants",
-    "Applicant", "Inventors", "Inventor", "Title",
+    "International Filing Date", "International Publication Date", "Publication Date", "Filing Date", "Applicant", "Applicants", "Inventor",
+    "Inventors", "Title", "Designated States",
 )
+#: A first claim, a field's value after its code, an application number, and a class.
 FIRST_CLAIM = r"(?m)(?:^|\n\n)1\.\s+(?:A\s|An\s|The\s)"
+FIELD = r"\(\s*%s\s*\)\s*[:\-]?\s*([^\n\(]{2,120})"
+APPLICATION_NUMBER = r"((?i)(?:PCT/[A-Z]{2}\d{4}/\d{4,6}|WO\s*\d{4}/\d{4,6}))"
+CLASS = r"([A-H]\d{2}[A-Z]\s*\d{1,4}/\d{2,4})"
+#: A label is a whole word at the start of a value, and goes with the marks around it.
+LABEL = r"(?i)\A(?:" + "|".join(LABELS) + r")(?![\p{L}\p{N}])"
+AROUND = r"\A[\s\p{Z}:;]+|[\s\p{Z}:;]+\z"
 
 
 def _first_place(text: Column, patterns: tuple[str, ...], after: int = 0) -> Column:
@@ -84,12 +91,11 @@ def date_in(text: Column) -> Column:
 
 def field_of(cover: Column, code: str, date: bool = False) -> Column:
     """The value after the field code, such as (54), without its label; null if there is none."""
-    value = F.nullif(trimmed(F.regexp_extract(cover, rf"\(\s*{code}\s*\)\s*[:\-]?\s*([^\n\(]{{2,120}})", 1)), F.lit(""))
+    value = F.nullif(trimmed(F.regexp_extract(cover, FIELD % code, 1)), F.lit(""))
     if date:
         return F.coalesce(date_in(value), value)
-
-    labelled = r"(?is)\A.*(?:" + "|".join(LABELS) + r")[\s\p{Z}:;]*"
-    return F.coalesce(F.nullif(F.regexp_replace(value, labelled, ""), F.lit("")), value)
+    bare = F.regexp_replace(F.regexp_replace(value, LABEL, ""), AROUND, "")
+    return F.when(F.rlike(value, F.lit(LABEL)) & (bare != ""), bare).otherwise(value)
 
 
 def inventors_of(value: Column) -> Column:
@@ -105,7 +111,7 @@ def inventors_of(value: Column) -> Column:
 
 def classes_of(value: Column) -> Column:
     """Classification codes in order without repeats, else the whole value."""
-    codes = F.array_distinct(F.regexp_extract_all(value, F.lit(r"([A-H]\d{2}[A-Z]\s*\d{1,4}/\d{2,4})"), F.lit(1)))
+    codes = F.array_distinct(F.regexp_extract_all(value, F.lit(CLASS), F.lit(1)))
     whole = F.when(trimmed(value) == "", F.array().cast("array<string>")).otherwise(F.array(trimmed(value)))
     return F.when(value.isNotNull(), F.when(F.size(codes) > 0, codes).otherwise(whole))
 
@@ -113,7 +119,7 @@ def classes_of(value: Column) -> Column:
 def cover_of(cover: Column) -> Column:
     """A struct of the nine cover fields; those that aren't found are null."""
     return F.struct(
-        _found(cover, r"((?i)(?:PCT/[A-Z]{2}\d{4}/\d{4,6}|WO\s*\d{4}/\d{4,6}))", 1).alias("application_number"),
+        _found(cover, APPLICATION_NUMBER, 1).alias("application_number"),
         field_of(cover, "22", date=True).alias("filing_date"),
         field_of(cover, "43", date=True).alias("publication_date"),
         field_of(cover, "71").alias("applicant"),
