@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.window import Window
 
 from ..formats.books import chapter_files, read_book
 from ..formats.errors import ConversionError
@@ -23,37 +29,58 @@ class FileWritten(WriterCommitMessage):
     count: int
 
 
+def _folder(place: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, by its URI or as a local path, and the folder's path there."""
+    if "://" in place or place.startswith("file:"):
+        return fs.FileSystem.from_uri(place)
+    return fs.LocalFileSystem(), os.path.abspath(place)
+
+
 class FolderWriter(DataSourceWriter):
-    """Writes rows (path, content) as UTF-8 files below a folder that all executors share.
+    """Writes rows (path, content) as files below a folder that all executors reach: a path, or a URI of an object store.
 
-    A file is written under a name of its own attempt and then moved into place, so a repeated task leaves whole files.
+    A file is written to a staging folder of the job and then moved into place, so a repeated task leaves whole files. The
+    staging folder goes when the job ends, also when it fails.
     """
 
     def __init__(self, folder: str):
         self.folder = folder
+        self.staging = f".staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        import os
-        import uuid
-
+        system, top = _folder(self.folder)
+        system.create_dir(f"{top}/{self.staging}", recursive=True)
+        made: set[str] = set()
         count = 0
-        top = os.path.realpath(self.folder)
         for row in iterator:
-            place = os.path.realpath(os.path.join(top, row["path"].lstrip("/")))
-            if not place.startswith(top + os.sep):
+            path = posixpath.normpath(row["path"].lstrip("/"))
+            if path.startswith("..") or path == ".":
                 raise ValueError(f"{row['path']} lies outside the folder")
-            os.makedirs(os.path.dirname(place), exist_ok=True)
-            held = f"{place}.{uuid.uuid4().hex[:8]}.tmp"
-            content = row["content"]
-            with open(held, "wb") as file:
-                file.write(bytes(content or b""))
-            os.replace(held, place)
+            place = f"{top}/{path}"
+            if (parent := posixpath.dirname(place)) not in made:
+                system.create_dir(parent, recursive=True)
+                made.add(parent)
+            held = f"{top}/{self.staging}/{uuid.uuid4().hex}"
+            with system.open_output_stream(held) as file:
+                file.write(bytes(row["content"] or b""))
+            system.move(held, place)
             count += 1
         return FileWritten(count)
 
+    def _cleared(self) -> None:
+        system, top = _folder(self.folder)
+        if system.get_file_info(f"{top}/{self.staging}").type == fs.FileType.Directory:
+            system.delete_dir(f"{top}/{self.staging}")
+
+    def commit(self, messages: list) -> None:
+        self._cleared()
+
+    def abort(self, messages: list) -> None:
+        self._cleared()
+
 
 class FolderSource(DataSource):
-    """The format ``quillmill_files``: option ``path`` names a shared folder."""
+    """The format ``quillmill_files``: option ``path`` names a folder, or its URI."""
 
     @classmethod
     def name(cls) -> str:
@@ -72,10 +99,36 @@ def write_files(rows: DataFrame, folder: str) -> None:
     rows.select("path", F.col("content").cast("binary").alias("content")).write.format("quillmill_files").mode("append").save(folder)
 
 
-def markdown_files(results: DataFrame) -> DataFrame:
-    """(path, content) of the successes of a conversion: the file's name with the ending .md."""
-    name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    return results.filter("status = 'success'").select(F.concat(name, F.lit(".md")).alias("path"), F.col("markdown").alias("content"))
+def _bare(path: Column) -> Column:
+    return F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/)", "")
+
+
+def _root_of(rows: DataFrame, root: str | None) -> str:
+    """``root`` as it begins paths, or the deepest folder that all paths share."""
+    if root is not None:
+        return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/)", "", root).rstrip("/") + "/"
+    low, high = rows.agg(F.min(_bare(F.col("path"))), F.max(_bare(F.col("path")))).first()
+    return os.path.commonprefix([low or "", high or ""]).rpartition("/")[0] + "/"
+
+
+def _below(path: Column, root: str) -> Column:
+    """A path below the root."""
+    bare = _bare(path)
+    inner = F.when(F.startswith(bare, F.lit(root)), F.substr(bare, F.lit(len(root) + 1))).otherwise(bare)
+    return F.regexp_replace(inner, "^/+", "")
+
+
+def markdown_files(results: DataFrame, root: str | None = None) -> DataFrame:
+    """(path, content) of the successes of a conversion: each file's path below ``root`` with the ending .md.
+
+    Without ``root`` paths start below the deepest folder that all share, which takes a pass over ``results``. Files of one
+    folder whose names differ only in their extensions keep these: a.txt.md, a.docx.md.
+    """
+    root = _root_of(results, root)
+    below = _below(F.col("path"), root)
+    rows = results.filter("status = 'success'").select(below.alias("whole"), F.regexp_replace(below, r"(?<=[^/])\.[^./]*$", "").alias("stem"), "markdown")
+    alone = F.count("*").over(Window.partitionBy("stem")) == 1
+    return rows.select(F.concat(F.when(alone, F.col("stem")).otherwise(F.col("whole")), F.lit(".md")).alias("path"), F.col("markdown").alias("content"))
 
 
 def structured_files(result: ScanResult, name: Column | None = None) -> DataFrame:
@@ -112,7 +165,7 @@ def preset_files(presets: list[Preset], spark: SparkSession) -> DataFrame:
 
 def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for kind, name, content in zip(*(batch.column(k) for k in range(3)), strict=True):
+        for kind, name, content, source in zip(*(batch.column(k) for k in range(4)), strict=True):
             try:
                 if kind.as_py() == "docx":
                     found = word_assets(content.as_py(), name.as_py())
@@ -121,13 +174,27 @@ def _companions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except ConversionError:
                 continue  # the conversion itself reports it
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+                columns = [*zip(*found, strict=True), [source.as_py()] * len(found)]
+                types = (pa.string(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "content", "source"])
 
 
-def companion_files(files: DataFrame) -> DataFrame:
-    """(path, content) beside the Markdown: the images of Word documents, and books as an index with a file a chapter."""
+def companion_files(files: DataFrame, root: str | None = None) -> DataFrame:
+    """(path, content) beside the Markdown: the images of Word documents, and books as an index with a file a chapter.
+
+    They lie in the folders of their documents below ``root`` (see markdown_files). Where two documents of one folder
+    would share a folder, such as books of one title, each has its file's name added.
+    """
+    root = _root_of(files, root)
     rows = with_kind(files.select("path", "content")).filter("kind IN ('docx', 'epub')")
-    return rows.select("kind", base_name(F.col("path")).alias("name"), "content").mapInArrow(_companions, "path string, content binary")
+    rows = rows.select("kind", base_name(F.col("path")).alias("name"), "content", _below(F.col("path"), root).alias("source"))
+    made = rows.mapInArrow(_companions, "path string, content binary, source string")
+    place = F.regexp_extract("source", r"^(.*/)?[^/]*$", 1)
+    made = made.withColumn("folder", F.concat(place, F.substring_index("path", "/", 1)))
+    rest = F.regexp_replace("path", "^[^/]*", "")
+    one = F.min("source").over(Window.partitionBy("folder")) == F.max("source").over(Window.partitionBy("folder"))
+    named = F.when(one, F.col("folder")).otherwise(F.concat("folder", F.lit(" ("), F.regexp_extract("source", r"([^/]*)$", 1), F.lit(")")))
+    return made.withColumn("named", named).select(F.concat("named", rest).alias("path"), "content")
 
 
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
