@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..plans.convert import convert
@@ -26,14 +27,45 @@ def watched(spark: SparkSession, folder: str, archive: str | None = None, files_
     return files.filter(name_ok & ~files["path"].rlike(r"/\.[^/]*$"))
 
 
+class Progress(StreamingQueryListener):
+    """Counts processed and failed files, and keeps the last error: of a file, or of the stream itself.
+
+    Given to convert_stream it learns of files; added to the session's listeners it learns how the stream goes.
+    """
+
+    def __init__(self):
+        self.processed, self.failed, self.last_error = 0, 0, None
+
+    def note(self, results: DataFrame) -> None:
+        """Take in a batch's results."""
+        failed = results.filter("status = 'failed'")
+        text = F.concat("path", F.lit(": "), F.coalesce("message", "error", F.lit("failed")))
+        count, last = failed.agg(F.count("*"), F.max_by(text, "path")).first()
+        self.failed += count
+        self.last_error = last or self.last_error
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.processed += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.last_error = event.exception or self.last_error
+
+
 def convert_stream(
     files: DataFrame, output: str, checkpoint: str, settings: Settings | None = None, dictionary: str | None = None,
-    also: Callable[[DataFrame, int, Settings], None] | None = None, once: bool = False,
+    also: Callable[[DataFrame, int, Settings], None] | None = None, once: bool = False, progress: Progress | None = None,
 ) -> StreamingQuery:
     """Convert every file once, across restarts, to Parquet folders by batch below ``output``.
 
     A batch that runs again replaces its own folder. Files that can't be converted are rows with an error and are not
-    tried again. ``also`` gets each batch's results, its number and the settings, with ``dictionary`` read anew.
+    tried again; ``progress`` counts them and keeps the last one's error. ``also`` gets each batch's results, its number
+    and the settings, with ``dictionary`` read anew.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -43,6 +75,8 @@ def convert_stream(
             held = replace(held, corrections=load_dictionary(spark, dictionary))
         place = f"{output}/batch={number}"
         convert(batch, held).write.mode("overwrite").parquet(place)
+        if progress:
+            progress.note(spark.read.parquet(place))
         if also:
             also(spark.read.parquet(place), number, held)
 
@@ -53,22 +87,3 @@ def convert_stream(
 def load_dictionary(spark: SparkSession, path: str) -> Corrections:
     texts = list(read_small_texts(spark, path).values())
     return corrections_from(texts[0]) if texts else Corrections()
-
-
-class Progress(StreamingQueryListener):
-    """Counts processed files and keeps the last error of a stream."""
-
-    def __init__(self):
-        self.processed, self.last_error = 0, None
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        self.processed += event.progress.numInputRows
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        self.last_error = event.exception
