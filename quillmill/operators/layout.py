@@ -6,6 +6,8 @@ left. A page is small, so what depends on order within a page works on the page'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,31 +134,30 @@ def tables_on_page(blocks: list[tuple[int, float, float, float, str]]) -> list[t
     return out
 
 
-def _page_tables(page: pa.Table) -> pa.Table:
-    columns = [page.column(n).to_pylist() for n in ("idx", "mx", "my", "top", "text")]
-    found = tables_on_page(list(zip(*columns, strict=True)))
-    n = len(found)
-    return pa.table(
-        {
-            "doc_id": pa.array([page.column("doc_id")[0].as_py()] * n, pa.int64()),
-            "page": pa.array([page.column("page")[0].as_py()] * n, pa.int32()),
-            "table_no": pa.array(range(1, n + 1), pa.int32()),
-            "indices": pa.array([f[0] for f in found], pa.list_(pa.int32())),
-            "markdown": pa.array([f[1] for f in found], pa.string()),
-            "top": pa.array([f[2] for f in found], pa.float64()),
-        }
-    )
+_TABLES = "doc_id long, page int, table_no int, indices array<int>, markdown string, top double"
+
+
+def _page_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, page, blocks) to the tables of each page."""
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.float64())
+    names = [c.split()[0] for c in _TABLES.split(", ")]
+    for batch in batches:
+        rows = []
+        for doc, page, blocks in zip(*(batch.column(k) for k in range(3)), strict=True):
+            held = [(b["idx"], b["mx"], b["my"], b["top"], b["text"]) for b in blocks.as_py()]
+            rows += [(doc.as_py(), page.as_py(), k, *found) for k, found in enumerate(tables_on_page(held), 1)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def detect_tables(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, table_no, indices, markdown, top): the tables of each page."""
+    """(doc_id, page, table_no, indices, markdown, top): the tables of each page. Pages of too few blocks aren't looked at."""
     rows = with_centres(blocks).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("idx").cast("int").alias("idx"), "mx", "my",
-        (F.col("y") + F.col("h")).alias("top"), "text",
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"),
+        F.struct(F.col("idx").cast("int").alias("idx"), "mx", "my", (F.col("y") + F.col("h")).alias("top"), "text").alias("block"),
     )
-    return rows.groupBy(*PAGE).applyInArrow(
-        lambda page: _page_tables(page), "doc_id long, page int, table_no int, indices array<int>, markdown string, top double"
-    )
+    pages = rows.groupBy(*PAGE).agg(F.collect_list("block").alias("blocks")).filter(F.size("blocks") >= LEAST_BLOCKS)
+    return pages.mapInArrow(_page_tables, _TABLES)
 
 
 def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:

@@ -48,22 +48,41 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.size(tokens_of(F.col("text"))).cast("long").alias("words"))
 
 
-def suspicious_tokens(pages: DataFrame, vocabulary: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def suspicious_tokens(pages: DataFrame, vocabulary: DataFrame, terms: DataFrame | None = None, context: bool = True) -> DataFrame:
     """(doc_id, page, line, place, token, context) of each token that is no known word and no technical term.
 
     ``vocabulary`` (word) and ``terms`` (term) hold lower-cased entries. Lines and places count from 1. The cheap tests
-    run before the anti-joins; a vocabulary goes to every task only where Spark finds it small.
+    run within the line's array, before the anti-joins; a vocabulary goes to every task only where Spark finds it small.
+    Without ``context`` the rows have ``raw``, the token as it stands, from which ``with_context`` finds it later.
     """
-    lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    found = lines.select("doc_id", "page", (F.col("line") + 1).alias("line"), "text", F.posexplode(tokens_of(F.col("text"))).alias("place", "raw"))
-    found = found.withColumn("token", bare(F.col("raw"))).filter((F.length("token") >= 2) & ~is_technical(F.col("token")))
+    lines = _lines(pages)
+    raw = F.transform(tokens_of(F.col("text")), lambda t, k: F.struct((k + 1).alias("place"), t.alias("raw"), bare(t).alias("token")))
+    held = F.filter(raw, lambda t: (F.length(t["token"]) >= 2) & ~is_technical(t["token"]))
+    found = lines.select("doc_id", "page", "line", *(["text"] if context else []), F.explode(held).alias("t"))
+    found = found.select(*[c for c in found.columns if c != "t"], "t.*")
     found = found.withColumn("word", F.lower("token")).join(vocabulary.select("word").distinct(), "word", "left_anti")
     if terms is not None:
         found = found.join(terms.select(F.col("term").alias("word")).distinct(), "word", "left_anti")
-    at = F.instr(F.col("text"), F.col("raw"))
+    out = ["doc_id", "page", "line", "place", "token"]
+    return found.select(*out, _context(F.col("text"), F.col("raw")).alias("context")) if context else found.select(*out, "raw")
+
+
+def _lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, line, text)."""
+    lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    return lines.withColumn("line", F.col("line") + 1)
+
+
+def _context(line: Column, raw: Column) -> Column:
+    at = F.instr(line, raw)
     start = F.greatest(at - CONTEXT, F.lit(1))
-    context = F.substr(F.col("text"), start, at + F.length("raw") + CONTEXT - start)
-    return found.select("doc_id", "page", "line", (F.col("place") + 1).alias("place"), "token", context.alias("context"))
+    return F.substr(line, start, at + F.length(raw) + CONTEXT - start)
+
+
+def with_context(tokens: DataFrame, pages: DataFrame) -> DataFrame:
+    """``tokens`` with what stands around each in its line of ``pages``, in place of ``raw``."""
+    joined = tokens.join(_lines(pages), ["doc_id", "page", "line"])
+    return joined.withColumn("context", _context(F.col("text"), F.col("raw"))).drop("text", "raw")
 
 
 def corrections_between(pages: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
@@ -102,7 +121,10 @@ def _listed(rows: DataFrame, order: list, line: Column, name: str) -> DataFrame:
 def report(
     pages: DataFrame, confidence: DataFrame, tokens: DataFrame, corrections: DataFrame, name: Column | None = None
 ) -> DataFrame:
-    """(doc_id, report): the text of each document's report. ``name`` is the file name shown, over ``doc_id``."""
+    """(doc_id, report): the text of each document's report. ``name`` is the file name shown, over ``doc_id``.
+
+    ``tokens`` are those of suspicious_tokens; context is only found for those that are listed.
+    """
     title = F.col("doc_id").cast("string") if name is None else name
     low = F.col("confidence") < LEAST_CONFIDENCE
     marked = F.concat(
@@ -112,7 +134,8 @@ def report(
     )
     by_page = _listed(confidence, ["page"], marked, "by_page")
     shown = F.format_string('  Page %d, Line %d: "%s" (context: ...%s...)', "page", "line", "token", "context")
-    listed = _listed(top_suspicious(tokens), ["rank"], shown, "listed")
+    top = top_suspicious(tokens)
+    listed = _listed(top if "context" in top.columns else with_context(top, pages), ["rank"], shown, "listed")
     counts = correction_counts(corrections)
     times = F.concat(F.col("n").cast("string"), F.lit(" occurrence"), F.when(F.col("n") == 1, F.lit("")).otherwise(F.lit("s")))
     change = F.concat(F.lit("  "), F.col("original"), F.lit(" → "), F.col("corrected"), F.lit(" ("), times, F.lit(")"))

@@ -175,8 +175,9 @@ def suspicious_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suspicious_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.suspicious_tokens(_pages(spark, sf_dir), _vocabulary(spark))
-    return quality.top_suspicious(found).select("doc_id", "page", "line", "place", "token", "context", "rank")
+    pages = _pages(spark, sf_dir)
+    top = quality.top_suspicious(quality.suspicious_tokens(pages, _vocabulary(spark), context=False))
+    return quality.with_context(top, pages).select("doc_id", "page", "line", "place", "token", "context", "rank")
 
 
 _TECH = "^(?:" + "|".join(quality.TECHNICAL) + ")$"

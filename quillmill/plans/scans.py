@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extraction import claims_of, cover_rows, paragraph_rows
@@ -14,11 +14,12 @@ from ..functions.text import corrected, ended, fix_paragraph_brackets, repaired,
 from ..operators import layout, quality
 from ..operators.documents import text_layer
 from ..settings import Settings
+from ..tables import checkpointed
 
 
 @dataclass(frozen=True)
 class ScanResult:
-    """Rows by page and document, all lazy. Outputs that the preset leaves out are null."""
+    """Rows by page and document. Outputs that the preset leaves out are null."""
 
     pages: DataFrame  # doc_id, page, raw, text
     markdown: DataFrame  # doc_id, markdown
@@ -29,29 +30,36 @@ class ScanResult:
     cover: DataFrame | None
 
 
-def repair(pages: DataFrame, settings: Settings, rules: HyphenRules = DEFAULT_RULES, image: bool = False, column: str = "raw") -> DataFrame:
-    """``pages`` with ``before`` (repaired) and ``text`` (also corrected), as the preset's steps say."""
+def _repaired(text: Column, settings: Settings, rules: HyphenRules) -> Column:
+    """The repairs that the preset's steps ask for."""
     preset = settings.preset
-    text = repaired(
-        F.col(column), hyphen_merger(rules), half=settings.half_width and preset.enabled("punctuation_normalize"),
+    return repaired(
+        text, hyphen_merger(rules), half=settings.half_width and preset.enabled("punctuation_normalize"),
         special=preset.enabled("special_char_normalize"), hyphens=preset.enabled("hyphen_merge"), noise=preset.enabled("noise_removal"),
     )
-    out = pages.withColumn("before", fix_paragraph_brackets(text, image))
-    correct = settings.correct and preset.enabled("dictionary_correct")
+
+
+def repair(pages: DataFrame, settings: Settings, rules: HyphenRules = DEFAULT_RULES, image: bool = False, column: str = "raw") -> DataFrame:
+    """``pages`` with ``before`` (repaired) and ``text`` (also corrected), as the preset's steps say."""
+    out = pages.withColumn("before", fix_paragraph_brackets(_repaired(F.col(column), settings, rules), image))
+    correct = settings.correct and settings.preset.enabled("dictionary_correct")
     return out.withColumn("text", corrected(F.col("before"), settings.corrections) if correct else F.col("before"))
 
 
 def process_scans(blocks: DataFrame, settings: Settings, vocabulary: DataFrame | None = None, terms: DataFrame | None = None) -> ScanResult:
-    """Recognised blocks (doc_id, page, idx, text, confidence, x, y, w, h) through layout, repair and extraction."""
+    """Recognised blocks (doc_id, page, idx, text, confidence, x, y, w, h) through layout, repair and extraction.
+
+    The repaired pages are written once to the session's checkpoint folder; all outputs are derived from them.
+    """
     preset = settings.preset
     raw = layout.page_text(blocks, forced_first=preset.enabled("column_reconstruction")).withColumnRenamed("text", "raw")
     raw = raw.filter(trimmed(F.col("raw")) != "")
-    pages = repair(raw, settings)
+    pages = checkpointed(repair(raw, settings))
     corrections = quality.corrections_between(pages, "before", "text")
     report = None
     if preset.enabled("quality_report") and vocabulary is not None:
         confidence = quality.page_confidence(blocks, pages)
-        report = quality.report(pages, confidence, quality.suspicious_tokens(pages, vocabulary, terms), corrections)
+        report = quality.report(pages, confidence, quality.suspicious_tokens(pages, vocabulary, terms, context=False), corrections)
     whole = layout.assembled(pages)
     structured = preset.enabled("structured_output")
     wants = {n: structured and preset.parameter("structured_output", f"extract_{n}", "true") == "true" for n in ("claims", "metadata")}
@@ -63,10 +71,10 @@ def process_scans(blocks: DataFrame, settings: Settings, vocabulary: DataFrame |
 
 
 def process_text_layer(pages: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, markdown) from a text layer (doc_id, page, text): repaired, without dictionary or report."""
+    """(doc_id, markdown) from a text layer (doc_id, page, text): repaired as the preset's steps say,
+    without dictionary or report."""
     joined = text_layer(pages).withColumnRenamed("text", "raw")
-    plain = Settings(punctuation=settings.punctuation, primary_language=settings.primary_language, correct=False, preset=settings.preset)
-    text = repaired(F.col("raw"), hyphen_merger(), half=plain.half_width)
+    text = _repaired(F.col("raw"), settings, DEFAULT_RULES)
     return joined.select("doc_id", F.concat(trimmed(text), F.lit("\n")).alias("markdown"))
 
 
