@@ -180,19 +180,6 @@ ORACLE_SQL["file_names"] = "SELECT doc_id, substr(translate(replace(coalesce(tex
 
 # Documents from rows
 
-def json_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The properties of each event as a fenced block, keys in order."""
-    events = read_table(spark, sf_dir, "events")
-    pretty = F.to_json(F.parse_json(F.col("props")))
-    return events.select("event_id", F.concat(F.lit("# "), F.col("event_id").cast("string"), F.lit("\n\n```json\n"), pretty, F.lit("\n```\n")).alias("markdown"))
-
-
-QUERIES["json_fence"] = json_fence
-ORACLE_SQL["json_fence"] = """
-SELECT event_id, '# ' || event_id || chr(10) || chr(10) || '```json' || chr(10) || replace(props, ' ', '') || chr(10) || '```' || chr(10) AS markdown FROM events
-"""
-
-
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a notebook: a role's turns are cells of one kind."""
     turns = read_table(spark, sf_dir, "conversations")

@@ -7,7 +7,7 @@ import __spark_entry__
 from quillmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "benchmark")
 
 
 @pytest.fixture(scope="module")
