@@ -48,6 +48,18 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.size(tokens_of(F.col("text"))).cast("long").alias("words"))
 
 
+def vocabulary_of(pages: DataFrame, least: int = 3) -> DataFrame:
+    """(word, documents): the words of a corpus that at least ``least`` of its documents hold, as a vocabulary to start from.
+
+    Words are lower-cased tokens of letters alone. A document counts once for each word, and counts are combined in each
+    task before they are dealt.
+    """
+    words = F.transform(tokens_of(F.col("text")), lambda t: F.lower(bare(t)))
+    held = F.array_distinct(F.filter(words, lambda w: F.rlike(w, F.lit(r"^\p{L}{2,}$"))))
+    each = pages.select("doc_id", F.explode(held).alias("word")).distinct()
+    return each.groupBy("word").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
+
+
 def suspicious_tokens(pages: DataFrame, vocabulary: DataFrame, terms: DataFrame | None = None, context: bool = True) -> DataFrame:
     """(doc_id, page, line, place, token, context) of each token that is no known word and no technical term.
 

@@ -117,7 +117,7 @@ class Settings:
         return self.punctuation == "half" or (self.punctuation == "auto" and self.primary_language.startswith("en"))
 
 
-#: A small dictionary to start from.
+#: Some pairs of the default dictionary, to start from.
 DEFAULT_CORRECTIONS = Corrections(
     spaced_words={"sy stem": "system", "net work": "network", "sig nal": "signal"},
     word_replacements={"cnable": "enable", "reccive": "receive", "cxample": "example", "mcthod": "method", "systcm": "system", "loT": "IoT"},

@@ -109,6 +109,12 @@ def test_context_is_found_after_ranking(spark):
     assert sorted(early.select(*columns).collect()) == sorted(late.select(*columns).collect()) and early.count() == 4
 
 
+def test_vocabulary_from_a_corpus(spark):
+    rows = [(1, 1, "The net, the NET"), (1, 2, "net"), (2, 1, "a net x1"), (3, 1, "Net the")]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    assert sorted(map(tuple, quality.vocabulary_of(pages, 2).collect())) == [("net", 3), ("the", 2)]
+
+
 def test_tables_are_detected_once(spark):
     grid = [(f"{r}|{c}", 0.1 + 0.3 * c, 0.9 - 0.05 * r) for r in range(3) for c in range(2)]
     result = process_scans(blocks(spark, [*grid, ("# Claims", 0.1, 0.1)]), Settings(preset=PRESETS[1]), spark.createDataFrame([("x",)], "word string"))
