@@ -127,14 +127,16 @@ def scan(
     around = max(len(t.words) for t in every)
 
     at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(rare), i)))
-    # the surroundings of a posting: words[left .. left + 2 * around]
-    hit = F.transform("at", lambda p: F.struct(
-        p.alias("position"), F.element_at("words", p + 1).alias("word"),
-        F.greatest(p - around, F.lit(0)).alias("left"), F.slice("words", F.greatest(p - around, F.lit(0)) + 1, F.lit(2 * around + 1)).alias("near"),
-    ))
     index = rows.withColumn("at", F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare])), at))
-    index = index.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.size("at") > 0, hit).alias("hits"))
-    index = scratch.save(index.withColumn("rid", F.monotonically_increasing_id()), "index")
+    index = index.withColumn("rid", F.monotonically_increasing_id())
+    # A row for each posting, with the words around it: words[left .. left + 2 * around]. A text's first has its length.
+    index = index.select("rid", "doc_id", "words", F.posexplode_outer("at").alias("k", "position"))
+    left = F.greatest(F.col("position") - around, F.lit(0))
+    index = index.select(
+        "rid", "doc_id", F.when(F.coalesce("k", F.lit(0)) == 0, F.size("words").cast("long")).alias("n_words"), "position",
+        F.element_at("words", F.col("position") + 1).alias("word"), left.alias("left"), F.slice("words", left + 1, F.lit(2 * around + 1)).alias("near"),
+    )
+    index = scratch.save(index, "index")
 
     known = spark.createDataFrame(
         [(k, w, p, every[k].label, list(every[k].words), every[k].exact, every[k].key, every[k].length,
@@ -142,7 +144,7 @@ def scan(
         "template int, word string, offset int, label string, statement array<string>, exact boolean, key int, length int, "
         "weights array<double>, votes int",
     )
-    hits = index.select("rid", F.explode("hits").alias("hit")).select("rid", "hit.*")
+    hits = index.filter("position IS NOT NULL").select("rid", "position", "word", "left", "near")
     aligned = hits.join(F.broadcast(known), "word").withColumn("start", F.col("position") - F.col("offset"))
     aligned = aligned.groupBy("rid", "template", "start").agg(
         F.count("*").alias("agreeing"), F.first("votes").alias("votes"), F.first("left").alias("left"), F.first("near").alias("near"),
@@ -167,7 +169,7 @@ def scan(
         F.max("score").alias("score"),
         F.sort_array(F.collect_list(F.struct("label", F.col("start").alias("first_word"), "score"))).alias("places"),
     )
-    return index.select("rid", "doc_id", "n_words").join(found, "rid", "left").select(
+    return index.filter("n_words IS NOT NULL").select("rid", "doc_id", "n_words").join(found, "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"), "places",
