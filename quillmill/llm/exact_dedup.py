@@ -190,6 +190,7 @@ def exact_dedup(
         (none | (F.col("rid") == F.col("best.rid"))).alias("kept"), "sha", "digest",
     )
     if not mixed.take(1):
+        scratch.keep("hits", *(f"rows-{k}" for k in range(len(narrow))))
         return alone.unionByName(found).drop("digest")
     clash = mixed.agg(F.sum("n")).first()[0]
     split = salted_join(text, mixed.select("digest", "n"), ["digest"], clash)

@@ -153,6 +153,7 @@ def audit(original: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[tupl
         return original.withColumn("replica_digest", F.col("digest")).withColumn("state", F.lit("ok")), report
     inside = both.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES).cast("long")).join(leaves, ["file", "node"], "left_semi")
     slots = scratch.save(_differing(inside, ["file", "offset"]), "slots")
+    scratch.keep("slots")
     state = F.when(F.col("other").isNull(), F.lit("missing")).when(F.col("own").isNull(), F.lit("extra")).otherwise(F.lit("corrupt"))
     slots = slots.withColumn("state", state)
     known = original.join(slots.filter("own IS NOT NULL").select("file", "offset", "other", "state"), ["file", "offset"], "left")

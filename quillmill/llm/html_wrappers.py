@@ -390,7 +390,9 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch, url_col: str = "url", htm
     parts = rows.mapInArrow(Infer(), "host string, wrapper string")
     parts = scratch.save(parts.withColumn("lot", F.pmod(F.xxhash64("wrapper"), F.lit(LOTS)).cast("int")), "parts")
     lots = parts.groupBy("host", "lot").applyInArrow(lambda t: merge_wrappers(t), "host string, wrapper string")
-    return scratch.save(lots.groupBy("host").applyInArrow(lambda t: merge_wrappers(t), "host string, wrapper string"), "wrappers")
+    wrappers = scratch.save(lots.groupBy("host").applyInArrow(lambda t: merge_wrappers(t), "host string, wrapper string"), "wrappers")
+    scratch.keep("wrappers")
+    return wrappers
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
