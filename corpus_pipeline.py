@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmill.llm.exact_dedup import keep_one
 from quillmill.llm.mixing import mix
 from quillmill.llm.ngram_join import ngram_join
-from quillmill.llm.packing import pack
+from quillmill.llm.packing import pack, token_counter
 from quillmill.llm.q_mixing import KEEP, TARGETS
 from quillmill.llm.q_packing import tokenizer_path
 from quillmill.llm.shared import Scratch, rows_that_stay, table
@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose tokens by source, language and topic meet the targets."""
-    _, _, stays = mix(docs, TARGETS, KEEP)
+    """A sample of the documents whose tokens, as packing counts them, meet the targets by source, language and topic."""
+    _, _, stays = mix(docs, TARGETS, KEEP, tokens=token_counter(tokenizer_path()))
     return docs.filter(stays)
 
 

@@ -15,6 +15,7 @@ A marginal value that no document has is left out and the others share its weigh
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,15 +74,21 @@ def uniform_of(id_column: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def rake(tokens: np.ndarray, marginals: list[np.ndarray], rounds: int = 25) -> np.ndarray:
-    """Weights with the zero pattern of ``tokens`` whose sums along each axis approach ``marginals`` (shares of 1)."""
+def rake(tokens: np.ndarray, marginals: list[np.ndarray], rounds: int = 25, off: float = 0.0) -> np.ndarray:
+    """Weights with the zero pattern of ``tokens`` whose sums along each axis approach ``marginals`` (shares of 1).
+
+    Takes ``rounds`` rounds, or ends when no weight moves by more than ``off`` in one.
+    """
     weights = tokens / max(tokens.sum(), 1e-300)
     axes = range(weights.ndim)
     for _ in range(rounds):
+        before = weights
         for axis in axes:
             now = weights.sum(axis=tuple(a for a in axes if a != axis))
             scale = np.divide(marginals[axis], now, out=np.zeros_like(now), where=now > 0)
             weights = weights * scale.reshape([-1 if a == axis else 1 for a in axes])
+        if np.abs(weights - before).max() < off:
+            break
     return weights
 
 
@@ -140,6 +147,17 @@ class Mix:
     targets: Targets
     cells: list[tuple[str, str, str, float, float, float]]  # source, lang, topic, tokens, weight, probability
 
+    def residuals(self) -> dict[tuple[str, str], float]:
+        """By dimension and value, how far the expected share of kept tokens is from the target; values without documents
+        have all of theirs missing."""
+        kept = sum(c[3] * c[5] for c in self.cells)
+        out = {}
+        for k, dimension in enumerate(DIMENSIONS):
+            for value, share in self.targets.of(dimension).items():
+                held = sum(c[3] * c[5] for c in self.cells if c[k] == value)
+                out[dimension, value] = (held / kept if kept else 0.0) - share
+        return out
+
     def probability(self, source: Column, lang: Column, topic: Column) -> Column:
         key = F.concat_ws("\x1f", *[folded(c, self.targets.of(d)) for c, d in zip((source, lang, topic), DIMENSIONS, strict=True)])
         pairs = [x for *values, _, _, p in self.cells for x in (F.lit("\x1f".join(values)), F.lit(float(p)))]
@@ -155,7 +173,8 @@ def fit_mix(
     """Rake the corpus's token counts to ``targets``.
 
     ``keep`` is the share of the corpus's tokens that the mix aims at; where cells can't give their part of that even
-    whole, they stay whole, and with ``within`` the others are raked again until the marginals hold.
+    whole, they stay whole, and with ``within`` the others are raked again until the marginals hold; raking then goes on
+    until it has converged rather than for ``rounds`` rounds.
     """
     columns = [folded(c, targets.of(d)).alias(d) for c, d in zip((source, lang, topic), DIMENSIONS, strict=True)]
     sums = docs.select(*columns, tokens.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
@@ -168,7 +187,7 @@ def fit_mix(
     marginals = [
         share_of(targets.of(d), values[a], cube.sum(axis=tuple(b for b in range(3) if b != a))) for a, d in enumerate(DIMENSIONS)
     ]
-    weights = rake(cube, marginals, rounds)
+    weights = rake(cube, marginals, 1000, 1e-9) if within else rake(cube, marginals, rounds)
     ratio = np.divide(weights * total * keep, cube, out=np.zeros_like(cube), where=cube > 0)
     if within:
         ratio = rake_within(cube, weights, keep)
@@ -182,13 +201,16 @@ def fit_mix(
 
 def mix(
     docs: DataFrame, targets: Targets, keep: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
+    source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Callable[[Column], Column] = tokens_of,
 ) -> tuple[Mix, Column, Column]:
-    """The fitted mix, and two columns over ``docs``: a row's probability, and whether it stays."""
+    """The fitted mix, and two columns over ``docs``: a row's probability, and whether it stays.
+
+    ``tokens`` counts a text's tokens: words, or what a tokenizer makes of it.
+    """
     text = text_or_empty(docs[text_col])
     topic = topic_of(text) if topic is None else topic
     source, lang = docs[source_col].cast("string"), docs[lang_col].cast("string")
-    fitted = fit_mix(docs, source, lang, topic, tokens_of(text), targets, keep, within=True)
+    fitted = fit_mix(docs, source, lang, topic, tokens(text), targets, keep, within=True)
     probability = fitted.probability(source, lang, topic)
     return fitted, probability, uniform_of(docs[id_col], text) < probability
 

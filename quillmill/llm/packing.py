@@ -76,6 +76,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def token_counter(path: str):
+    """A Column function from text to its number of ids, with the end id."""
+
+    @F.arrow_udf("long")
+    def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = encoder(path)
+        for batch in texts:
+            yield pa.array([len(encode.ids(t.as_py() or "")) + 1 for t in batch], pa.int64())
+
+    return counted
+
+
 @dataclass(frozen=True)
 class CutIntoPieces:
     """Batches of (id, text) to batches of pieces."""
