@@ -80,6 +80,17 @@ def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["html_to_markdown"] = html_to_markdown
+# The pages hold no other elements than these; white space that these replacements leave at the end of a block goes.
+ORACLE_SQL["html_to_markdown"] = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?is)<!doctype[^>]*>|<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<!--.*?-->|</?(?:html|head|meta|body|article)\b[^>]*>', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'), '([\\`])', '\\\1', 'g') AS x FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '<li><a href="([^"]*)">(.*?)</a>(?:</li>)?', '- [\2](\1)' || chr(10), 'g'), '<nav><ul>', chr(10) || chr(10), 'g'), '</ul></nav>', chr(10), 'g') AS x FROM b),
+d AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '<h1>', chr(10) || chr(10) || '# ', 'g'), '<br>', '  ' || chr(10), 'g'), '</?b>', '**', 'g') AS x FROM c),
+e AS (SELECT page_id, url, regexp_replace(x, '</?(?:title|div|footer|p|h1)\b[^>]*>', chr(10) || chr(10), 'g') AS x FROM d),
+f AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '([^ ]) (\n|\z)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\A\n+|\n+\z', '', 'g') || chr(10) AS x FROM e),
+g AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS markdown FROM f)
+SELECT page_id, url, markdown, len(regexp_extract_all(markdown, '(?m)^#{1,6} '))::BIGINT AS n_headings, len(regexp_extract_all(markdown, '\]\([^)]+\)'))::BIGINT AS n_links FROM g
+"""
 QUERIES["html_outline"] = html_outline
 ORACLE_SQL["html_outline"] = """
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?is)<!--.*?-->', '', 'g') AS h FROM pages),
