@@ -117,8 +117,9 @@ QUERIES["text_hyphen_merge"] = hyphen_merge
 # A word that was parted ends its line; what stood behind it is the next line. After half-, over- and such lines stay parted.
 _LEADS = "|".join(sorted(w for w in DEFAULT_RULES.leads if len(w) == 4))
 ORACLE_SQL["text_hyphen_merge"] = f"""
-WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\b([a-z]{{4}})([a-z]{{3,}})\\b', '\\1' || chr(1) || '\\2' || chr(2), 'g') AS x FROM documents),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(x, chr(2) || '([\\pL\\pN]+)', '\\1' || chr(2), 'g'), '(\\A|[^\\pL\\pN])({_LEADS})' || chr(1) || '([\\pL\\pN]+)' || chr(2), '\\1\\2-' || chr(10) || '\\3', 'g') AS x FROM a),
+WITH w AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([\\pL\\pN_]+)', chr(3) || '\\1' || chr(4), 'g') AS x FROM documents),
+a AS (SELECT doc_id, translate(regexp_replace(x, chr(3) || '([a-z]{{4}})([a-z]{{3,}})' || chr(4), '\\1' || chr(1) || '\\2' || chr(2), 'g'), chr(3) || chr(4), '') AS x FROM w),
+b AS (SELECT doc_id, regexp_replace(x, '(\\A|[^\\pL\\pN])({_LEADS})' || chr(1) || '([a-z]+)' || chr(2), '\\1\\2-' || chr(10) || '\\3', 'g') AS x FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(replace(x, chr(1), ''), chr(2) || '[ \\t]*(\\n|\\z)', '\\1', 'g'), chr(2) || '[ \\t]*', chr(10), 'g') AS x FROM b)
 SELECT doc_id, md5(x) AS text_md5 FROM c
 """
