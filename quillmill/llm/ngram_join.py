@@ -38,7 +38,7 @@ from .shared import DigestFilter, Scratch, salted_join, sha256, text_or_empty
 WORD = re.compile(r"\w+")
 CACHED_WORDS = 400_000
 WORDS_AT_ONCE = 300_000
-BLOCK_ROWS, BLOCK_GRAMS = 1024, 1_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 512, 500_000
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 192) -> tuple[int, int]:
