@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .cutting_stock import plan
-from .shared import Scratch, text_or_empty
+from .shared import Scratch, tasks_of, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Rows of a class that are ranked in one group.
+#: Rows of a class that are ranked in one group at most.
 BUCKET_ROWS = 1 << 15
 
 _encoders: dict[str, object] = {}
@@ -179,11 +179,12 @@ def pack(
     rest = pieces.filter(F.col("length") < capacity)
     units = capacity // grain
     demand = {size: int(n) for size, n in rest.groupBy("size").count().collect()}  # at most units rows
-    buckets = {size: -(-n // BUCKET_ROWS) for size, n in demand.items()}
+    share = max(1, min(BUCKET_ROWS, sum(demand.values()) // (2 * tasks_of(docs.sparkSession))))  # half a task's even part at most
+    buckets = {size: -(-n // share) for size, n in demand.items()}
     many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(buckets.items()) for x in pair]), F.col("size")), F.lit(1)) if buckets else F.lit(1)
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "pid"), many).cast("int"))
     counts = {size: np.zeros(n, np.int64) for size, n in buckets.items()}
-    for size, bucket, n in rest.groupBy("size", "bucket").count().collect():  # at most units + rows / BUCKET_ROWS rows
+    for size, bucket, n in rest.groupBy("size", "bucket").count().collect():  # at most units + 2 * tasks + rows / BUCKET_ROWS rows
         counts[size][bucket] = n
     places, sequences = _places(plan(demand, units))
     before = {size: np.cumsum(n) - n for size, n in counts.items()}
