@@ -1,11 +1,12 @@
 """License scans with a positional index of rare words, in DataFrame operations alone.
 
-A template is a statement as words, with a key phrase that must stand in it word for word. The words of the
-templates are looked for in all texts once, to learn in how many texts each occurs. The two rarest words of a template's
-key phrase are its postings. A second pass finds these words in every text by position, with the words around them.
-A text's posting minus the template's gives a start; where both of the template's postings agree on a start, the key
-phrase is verified, and the share of the template's words that stand at their relative positions, weighted by rarity,
-is the score. Texts are read in place; only counts of the words and the few postings are shuffled.
+A template is a statement as words, with a key phrase that must stand in it word for word. Every text is parted into
+words once; its index holds the words that occur in some template, by position. The index says in how many texts each
+of these words occurs. The two rarest words of a template's key phrase are its postings, and those of a file's words
+that are postings are looked up. A file's posting minus the template's gives a start; where both of the template's
+postings agree on a start, the key phrase is verified, and the share of the template's words that stand at their relative
+positions, weighted by rarity, is the score. Texts are read in place; only counts of the words and the few postings are
+shuffled, each with the index around it.
 
 Defined results. A null text counts as empty and has no words. Repeated rows and repeated identifiers are scanned each.
 An empty table gives an empty result. Overlapping places all count. Other columns may have any name.
@@ -81,12 +82,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def rarities(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Inverse document frequency of each word of ``vocabulary`` over all rows of ``words`` (words array<string>)."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    some = words.select(F.explode(F.array_intersect("words", known)).alias("word"))
+def rarities(index: DataFrame, vocabulary: list[str]) -> dict[str, float]:
+    """Inverse document frequency of each word of ``vocabulary`` over all rows of ``index``."""
+    some = index.select(F.explode(F.array_distinct(F.transform("held", lambda s: s["word"]))).alias("word"))
     found = dict(some.groupBy("word").count().collect())  # a row for each word of the vocabulary at most
-    total = words.count()
+    total = index.count()
     return {w: _idf(total, found.get(w, 0)) for w in vocabulary}
 
 
@@ -121,22 +121,19 @@ def scan(
     every = (*base, *templates)
     rows = docs.select(docs[id_col].alias("doc_id"), words_of(text_or_empty(docs[text_col])).alias("words"))
     vocabulary = sorted({w for t in every for w in t.words})
-    rarity = rarities(rows, vocabulary)
+    held = F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("position"), w.alias("word"))))
+    index = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array_compact(held).alias("held"))
+    index = scratch.save(index.withColumn("rid", F.monotonically_increasing_id()), "index")
+    rarity = rarities(index, vocabulary)
     postings = postings_of(every, rarity)
     rare = sorted({w for _, w, _ in postings})
     around = max(len(t.words) for t in every)
 
-    at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(rare), i)))
-    index = rows.withColumn("at", F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare])), at))
-    index = index.withColumn("rid", F.monotonically_increasing_id())
-    # A row for each posting, with the words around it: words[left .. left + 2 * around]. A text's first has its length.
-    index = index.select("rid", "doc_id", "words", F.posexplode_outer("at").alias("k", "position"))
-    left = F.greatest(F.col("position") - around, F.lit(0))
-    index = index.select(
-        "rid", "doc_id", F.when(F.coalesce("k", F.lit(0)) == 0, F.size("words").cast("long")).alias("n_words"), "position",
-        F.element_at("words", F.col("position") + 1).alias("word"), left.alias("left"), F.slice("words", left + 1, F.lit(2 * around + 1)).alias("near"),
-    )
-    index = scratch.save(index, "index")
+    # The postings of each text, with as many entries of its index on both sides as a statement has words.
+    at = F.transform("held", lambda s, k: F.when(s["word"].isin(rare), F.struct(k.alias("k"), s["position"].alias("position"), s["word"].alias("word"))))
+    hits = index.select("rid", "held", F.explode(F.array_compact(at)).alias("hit"))
+    left = F.greatest(F.col("hit.k") - around, F.lit(0))
+    hits = hits.select("rid", "hit.position", "hit.word", F.slice("held", left + 1, F.lit(2 * around + 1)).alias("near"))
 
     known = spark.createDataFrame(
         [(k, w, p, every[k].label, list(every[k].words), every[k].exact, every[k].key, every[k].length,
@@ -144,15 +141,13 @@ def scan(
         "template int, word string, offset int, label string, statement array<string>, exact boolean, key int, length int, "
         "weights array<double>, votes int",
     )
-    hits = index.filter("position IS NOT NULL").select("rid", "position", "word", "left", "near")
     aligned = hits.join(F.broadcast(known), "word").withColumn("start", F.col("position") - F.col("offset"))
     aligned = aligned.groupBy("rid", "template", "start").agg(
-        F.count("*").alias("agreeing"), F.first("votes").alias("votes"), F.first("left").alias("left"), F.first("near").alias("near"),
+        F.count("*").alias("agreeing"), F.first("votes").alias("votes"), F.first("near").alias("near"),
         *[F.first(c).alias(c) for c in ("label", "statement", "exact", "key", "length", "weights")],
     )
     aligned = aligned.filter("agreeing >= votes")
-    same = F.transform("statement", lambda w, j: F.coalesce(F.get("near", F.col("start") - F.col("left") + j) == w, F.lit(False)))
-    same = F.transform(same, lambda s, j: s & (F.col("start") - F.col("left") + j >= 0))
+    same = F.transform("statement", lambda w, j: F.exists("near", lambda s: (s["position"] == F.col("start") + j) & (s["word"] == w)))
     placed = aligned.withColumn("same", same)
     verified = F.forall(F.slice("same", F.col("key") + 1, F.col("length")), lambda s: s)
     weight = F.aggregate(F.zip_with("same", "weights", lambda s, w: F.when(s, w).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
@@ -169,7 +164,7 @@ def scan(
         F.max("score").alias("score"),
         F.sort_array(F.collect_list(F.struct("label", F.col("start").alias("first_word"), "score"))).alias("places"),
     )
-    return index.filter("n_words IS NOT NULL").select("rid", "doc_id", "n_words").join(found, "rid", "left").select(
+    return index.select("rid", "doc_id", "n_words").join(found, "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"), "places",
