@@ -18,14 +18,17 @@ import numpy as np
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5)
 WIDTHS = (1, 2, 3)
+STRETCH = 60_000
 
 
-def word_features(word: str, buckets: int) -> list[int]:
-    """Hashed features of a lower-cased word: the word itself and its prefixes, each kind salted by its length."""
-    raw = word.encode("utf-8", "surrogatepass")
-    out = [zlib.crc32(raw, 1) % buckets]
+def word_features(words: list[str], buckets: int) -> np.ndarray:
+    """Hashed features of lower-cased words, a row each: the word itself and its prefixes, each kind salted by its length."""
+    out = np.empty((len(words), 1 + len(PREFIXES)), np.int32)
+    out[:, 0] = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) for w in words), np.uint32, len(words)) % buckets
     for k, n in enumerate(PREFIXES):
-        out.append(zlib.crc32(word[:n].encode("utf-8", "surrogatepass"), 2 + k) % buckets if len(word) >= n else buckets)
+        stems = [w[:n] for w in words]
+        of = {s: zlib.crc32(s.encode("utf-8", "surrogatepass"), 2 + k) % buckets if len(s) == n else buckets for s in set(stems)}
+        out[:, k + 1] = np.fromiter(map(of.__getitem__, stems), np.int32, len(stems))
     return out
 
 
@@ -73,18 +76,40 @@ class TextCnn:
 
     def word_shares(self, features: np.ndarray) -> np.ndarray:
         """For each word's features, its share of every filter at every position: (words, sum of widths * filters)."""
-        vectors = self.embedding[features].sum(axis=1)
-        table = np.concatenate([self.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
-        return vectors @ table
+        return self.vectors(features) @ self.table()
 
-    def pooled(self, shares: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest response of each filter in each text, and where.
+    def vectors(self, features: np.ndarray) -> np.ndarray:
+        out = self.embedding.take(features[:, 0], axis=0)
+        for k in range(1, features.shape[1]):
+            out += self.embedding.take(features[:, k], axis=0)
+        return out
+
+    def table(self) -> np.ndarray:
+        return np.concatenate([self.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
+
+    def copy(self) -> TextCnn:
+        filters, bias = ({w: v.copy() for w, v in held.items()} for held in (self.filters, self.bias))
+        return TextCnn(self.embedding.copy(), filters, bias, self.out.copy(), self.out_bias)
+
+    def dense(self) -> np.ndarray:
+        """All parameters but the embedding, one after another."""
+        return np.concatenate([*(self.filters[w].ravel() for w in WIDTHS), *(self.bias[w] for w in WIDTHS), self.out, [self.out_bias]])
+
+    def set_dense(self, values: np.ndarray) -> None:
+        at = 0
+        for held in (*(self.filters[w] for w in WIDTHS), *(self.bias[w] for w in WIDTHS), self.out):
+            held[...] = values[at : at + held.size].reshape(held.shape)
+            at += held.size
+        self.out_bias = float(values[at])
+
+    def pooled(self, shares: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Largest response of each filter in each text.
 
         ``shares`` has the texts one after another, each followed by max(WIDTHS) - 1 rows of zeros; a text has at
         least one row. A window starts at each of a text's own rows.
         """
         f = len(self.bias[1])
-        best, where, column = [], [], 0
+        best, column = [], 0
         spans = np.stack([starts, starts + lengths], axis=1).ravel()
         for w in WIDTHS:
             n = len(shares) - w + 1
@@ -94,36 +119,79 @@ class TextCnn:
             column += w * f
             top = np.maximum.reduceat(response[: spans[-1]], spans[:-1], axis=0)[::2]
             best.append(np.maximum(top + self.bias[w], 0))
-            where.append((response, top))
-        return np.concatenate(best, axis=1), where
+        return np.concatenate(best, axis=1)
+
 
-    def logits(self, shares: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return self.pooled(shares, starts, lengths)[0] @ self.out + self.out_bias
+@dataclass(frozen=True)
+class Texts:
+    """Texts as numbers of words: ``vocabulary`` (words, 1 + len(PREFIXES)) holds each word's features."""
 
+    vocabulary: np.ndarray
+    codes: list[np.ndarray]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.array([len(c) for c in self.codes], dtype=np.int64)
 
-def laid_out(features: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts' word features one after another with empty words between them: (features, starts, lengths)."""
-    gap = max(WIDTHS) - 1
-    width = 1 + len(PREFIXES)
-    empty = np.full((gap, width), buckets, dtype=np.int32)
-    parts, starts, lengths, at = [], [], [], 0
-    for rows in features:
-        rows = rows if len(rows) else empty[:1]
-        starts.append(at)
-        lengths.append(len(rows))
-        parts += [rows, empty]
-        at += len(rows) + gap
-    return np.concatenate(parts), np.array(starts), np.array(lengths)
+    def laid_out(self, chosen: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Some texts one after another with empty words between them: (features of their words, which one each is, starts, lengths)."""
+        gap, empty = max(WIDTHS) - 1, len(self.vocabulary)
+        parts, starts, lengths, at = [], [], [], 0
+        for i in chosen:
+            own = self.codes[i] if len(self.codes[i]) else np.array([empty], np.int32)
+            starts.append(at)
+            lengths.append(len(own))
+            parts += [own, np.full(gap, empty, np.int32)]
+            at += len(own) + gap
+        codes = np.concatenate(parts)
+        held = np.zeros(empty + 1, bool)
+        held[codes] = True
+        some = np.flatnonzero(held)
+        number = np.zeros(empty + 1, np.int32)
+        number[some] = np.arange(len(some))
+        features = np.full((len(some), 1 + len(PREFIXES)), buckets, np.int32)
+        features[:-1] = self.vocabulary[some[:-1]]  # the empty word is the last
+        return features, number[codes], np.array(starts), np.array(lengths)
 
 
-def batches_of(texts: list[np.ndarray], order: np.ndarray, rows: int = 64, words: int = 60_000) -> Iterator[np.ndarray]:
+def peaks(model: TextCnn, shares: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter in each text, and the place in ``words`` where its first such window starts.
+
+    ``shares`` has a column for each word. The words are looked at in stretches, so that memory is bounded for any text.
+    """
+    f, gap = len(model.bias[1]), max(WIDTHS) - 1
+    shares = np.ascontiguousarray(shares)
+    best = np.full((len(starts), f * len(WIDTHS)), -np.inf, np.float32)
+    where = np.zeros(best.shape, np.int64)
+    words = words.astype(np.intp)
+    total, every, ends = len(words) - gap, np.arange(f), starts + lengths
+    for low in range(0, total, STRETCH):
+        n = min(STRETCH, total - low)
+        inside = [(t, max(starts[t], low) - low, min(ends[t], low + n) - low) for t in np.flatnonzero((starts < low + n) & (ends > low)).tolist()]
+        column = 0
+        for j, w in enumerate(WIDTHS):
+            response = shares[column : column + f].take(words[low : low + n], axis=1, mode="clip")
+            for k in range(1, w):
+                response += shares[column + k * f : column + (k + 1) * f].take(words[low + k : low + k + n], axis=1, mode="clip")
+            column += w * f
+            own = slice(j * f, (j + 1) * f)
+            for t, start, end in inside:
+                at = response[:, start:end].argmax(axis=1) + start
+                top = response[every, at]
+                better = top > best[t, own]
+                best[t, own] = np.where(better, top, best[t, own])
+                where[t, own] = np.where(better, at + low, where[t, own])
+    return np.maximum(best + np.concatenate([model.bias[w] for w in WIDTHS]), 0), where
+
+
+def batches_of(lengths: np.ndarray, order: np.ndarray, rows: int = 64, words: int = STRETCH) -> Iterator[np.ndarray]:
     """``order`` in parts of at most ``rows`` texts, and of ``words`` words or one text."""
     low, held = 0, 0
     for k, i in enumerate(order):
-        if k > low and (k - low == rows or held + len(texts[i]) > words):
+        if k > low and (k - low == rows or held + lengths[i] > words):
             yield order[low:k]
             low, held = k, 0
-        held += len(texts[i])
+        held += lengths[i]
     if low < len(order):
         yield order[low:]
 
@@ -137,53 +205,48 @@ class _Adam:
             self.state[name] = np.zeros_like(value), np.zeros_like(value)
         m, v = self.state[name]
         at = slice(None) if rows is None else rows
-        m[at] = 0.9 * m[at] + 0.1 * gradient
-        v[at] = 0.999 * v[at] + 0.001 * gradient**2
-        value[at] -= self.rate * (m[at] / (1 - 0.9**self.step)) / (np.sqrt(v[at] / (1 - 0.999**self.step)) + 1e-8)
+        new_m, new_v = m[at] * 0.9 + 0.1 * gradient, v[at] * 0.999 + 0.001 * gradient**2
+        m[at], v[at] = new_m, new_v
+        value[at] -= self.rate * (new_m / (1 - 0.9**self.step)) / (np.sqrt(new_v / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, in order, and the sum of the rows of each."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    return ids[first], np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
 def train(
-    texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 0, **shape: int
-) -> TextCnn:
-    """Fit on texts given as word features. Classes weigh the same; both the order and the start are fixed by seed."""
-    model = TextCnn.fresh(seed=seed, **shape)
+    model: TextCnn, texts: Texts, labels: np.ndarray, toxic_weight: float, passes: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 0
+) -> tuple[TextCnn, np.ndarray]:
+    """``model`` fitted further on ``texts``, and the rows of its embedding that were moved. The order is fixed by seed."""
+    model = model.copy()
     adam, rng = _Adam(rate), np.random.default_rng(seed)
-    positives = max(1.0, float(labels.sum()))
-    weight = np.where(labels > 0, min(20.0, max(1.0, (len(labels) - positives) / positives)), 1.0)
-    f = len(model.bias[1])
-    for _ in range(epochs):
-        for chosen in batches_of(texts, rng.permutation(len(texts)), batch):
-            features, starts, lengths = laid_out([texts[i] for i in chosen], model.buckets)
-            shares = model.word_shares(features)
-            hidden, where = model.pooled(shares, starts, lengths)
+    weight = np.where(labels > 0, toxic_weight, 1.0)
+    f, lengths_of = len(model.bias[1]), texts.lengths
+    moved = np.zeros(len(model.embedding), bool)
+    for _ in range(passes):
+        for chosen in batches_of(lengths_of, rng.permutation(len(labels)), batch):
+            features, words, starts, lengths = texts.laid_out(chosen, model.buckets)
+            vectors = model.vectors(features)
+            hidden, where = peaks(model, model.table().T @ vectors.T, words, starts, lengths)
             probability = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30)))
             slope = ((probability - labels[chosen]) * weight[chosen] / weight[chosen].sum()).astype(np.float32)
             adam.step += 1
             back = slope[:, None] * model.out[None, :] * (hidden > 0)
-            touched: list[np.ndarray] = []
-            moved: list[np.ndarray] = []
-            gradients = {}
+            touched, moves, gradients = [], [], {}
             for j, w in enumerate(WIDTHS):
-                response, top = where[j]
-                g = back[:, j * f : (j + 1) * f]
-                doc = np.repeat(np.arange(len(chosen)), lengths)
-                own = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, lengths, strict=True)])
-                inside = own < len(response)
-                own, doc = own[inside], doc[inside]
-                row, column = np.nonzero(response[own] == top[doc])
-                key = doc[row] * f + column
-                _, first = np.unique(key, return_index=True)
-                at, document, column = own[row[first]], doc[row[first]], column[first]
-                value = g[document, column]
-                live = value != 0
-                at, column, value = at[live], column[live], value[live]
+                g, at = back[:, j * f : (j + 1) * f], where[:, j * f : (j + 1) * f]
+                document, column = np.nonzero(g)
+                value = g[document, column][:, None]
                 change = np.zeros_like(model.filters[w])
                 for k in range(w):
-                    ids = features[at + k]
-                    vector = model.embedding[ids].sum(axis=1)
-                    np.add.at(change[k].T, column, vector * value[:, None])
-                    touched.append(ids.ravel())
-                    moved.append(np.repeat(model.filters[w][k].T[column] * value[:, None], ids.shape[1], axis=0))
+                    ids = words[at + k]
+                    change[k] = np.einsum("dfe,df->ef", vectors[ids], g)
+                    touched.append(ids[document, column])
+                    moves.append(model.filters[w][k].T[column] * value)
                 gradients[w] = change, g.sum(axis=0)
             out_gradient = hidden.T @ slope
             for w, (change, shift) in gradients.items():
@@ -191,10 +254,11 @@ def train(
                 adam.update(f"bias{w}", model.bias[w], shift)
             adam.update("out", model.out, out_gradient)
             model.out_bias -= rate * float(slope.sum())
-            if touched:
-                rows, back_to = np.unique(np.concatenate(touched), return_inverse=True)
-                gradient = np.zeros((len(rows), model.embedding.shape[1]), np.float32)
-                np.add.at(gradient, back_to, np.concatenate(moved))
-                adam.update("embedding", model.embedding, gradient, rows)
+            ids = np.concatenate(touched)
+            if len(ids):
+                ids, gradient = _summed(ids, np.concatenate(moves))  # by word, then by feature
+                ids, gradient = _summed(features[ids].T.ravel(), np.tile(gradient, (features.shape[1], 1)))
+                adam.update("embedding", model.embedding, gradient, ids)
                 model.embedding[-1] = 0
-    return model
+                moved[ids] = True
+    return model, moved

@@ -1,7 +1,8 @@
 """Toxicity of documents: a convolutional text classifier whose thresholds are calibrated by language.
 
-The classifier (see text_cnn) learns from a bounded sample of labelled rows; the bounds are parameters of
-``ToxicityModel.fit``. Scores read the text alone. The language that picks a threshold is guessed from the text's own
+The classifier (see text_cnn) learns from every labelled row, whatever their number: the rows are dealt into shards of about
+SHARD_WORDS words, each pass trains on all shards side by side, from the same parameters, and the shards' parameters are
+averaged before the next pass. The networks' mean logits of all labelled rows calibrate the thresholds. Scores read the text alone. The language that picks a threshold is guessed from the text's own
 function words. A threshold that was calibrated to t maps to the score 0.5: score = 1 / (1 + exp(t - logit)).
 Scoring is a map over the rows without a shuffle; a filter's largest response in a text is the largest of those in its
 windows, so that memory is bounded for texts of any length.
@@ -13,18 +14,19 @@ score is the logit of the untrained part, below 0.5. Repeated labels of one docu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import Scratch, crc_of_id, text_or_empty
-from .text_cnn import PREFIXES, WIDTHS, WORD, TextCnn, batches_of, laid_out, train, word_features, words_of
+from .shared import DigestFilter, Scratch, crc_of_id, text_or_empty
+from .text_cnn import PREFIXES, STRETCH, WIDTHS, WORD, TextCnn, Texts, batches_of, peaks, train, word_features, words_of
 
 #: Common function words by language.
 FUNCTION_WORDS = {
@@ -36,6 +38,9 @@ FUNCTION_WORDS = {
 LANGUAGES = (*FUNCTION_WORDS, "other")
 CACHED_WORDS = 60_000
 WORDS_AT_ONCE = 50_000
+SHARD_WORDS = 4_000_000
+MERGED_AT_ONCE = 64
+PART_ROWS = 512
 
 _VOTES: dict[str, np.ndarray] = {}
 for _k, _words in enumerate(FUNCTION_WORDS.values()):
@@ -64,13 +69,11 @@ class _WordTable:
                 self.votes = np.zeros((len(new) + 1, len(LANGUAGES)), np.float32)
         if new:
             low = len(self.row)
-            features = np.array([word_features(w, self.model.buckets) for w in new], dtype=np.int32)
-            self.shares[low : low + len(new)] = self.model.word_shares(features)
+            self.shares[low : low + len(new)] = self.model.word_shares(word_features(new, self.model.buckets))
             self.votes[low : low + len(new)] = 0
-            for k, word in enumerate(new):
-                self.row[word] = low + k
-                if word in _VOTES:
-                    self.votes[low + k] = _VOTES[word]
+            self.row.update(zip(new, range(low, low + len(new)), strict=True))
+            for word in _VOTES.keys() & set(new):
+                self.votes[self.row[word]] = _VOTES[word]
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
 
@@ -99,7 +102,7 @@ def logits_and_languages(texts: list[str], table: _WordTable) -> tuple[np.ndarra
         spans = np.array(lengths)
         starts = np.cumsum(spans + gap) - spans - gap
         rows = table.rows(words)
-        hidden = table.model.pooled(table.shares[rows], starts, spans)[0]
+        hidden = table.model.pooled(table.shares[rows], starts, spans)
         np.maximum.at(largest, owners, hidden)
         own = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, spans, strict=True)])
         np.add.at(votes, owners, np.add.reduceat(table.votes[rows[own]], np.cumsum(spans) - spans, axis=0))
@@ -157,50 +160,51 @@ class ToxicityModel:
         text_col: str = "text",
         label_col: str = "toxic",
         usable: Column | None = None,
-        per_class: int = 3000,
-        most_words: int = 1_500_000,
         epochs: int = 8,
         steps: int = 400,
         networks: int = 3,
     ) -> ToxicityModel:
-        """Learn from at most ``per_class`` labelled documents of each class, whole ones until they have ``most_words`` words.
+        """Learn from all labelled documents that ``docs`` holds.
 
-        ``usable`` is a condition on the id. Training takes ``epochs`` passes, and more until it has taken ``steps``
-        steps, but not over 60 passes. ``networks`` start from different weights, and their logits are averaged. The
-        sample is the first by a hash of the id, of documents that ``docs`` holds. Four fifths of it train the
-        network, the rest calibrates the thresholds.
+        ``usable`` is a condition on the id. Training takes ``epochs`` passes, and more until a shard has taken ``steps``
+        steps, but not over 60 passes. ``networks`` start from different weights, and their logits are averaged. All
+        rows train every network and calibrate the thresholds.
         """
         scratch = Scratch(docs.sparkSession, "toxicity")
         held = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).dropna()
         if usable is not None:
             held = held.filter(usable)
+        held = held.groupBy("id").agg(F.max("label").alias("label")).filter(F.col("label").isin(0, 1))
+        held = scratch.save(held, "held")
+        digest = F.unhex(F.md5(F.col("id").cast("string").cast("binary")))
+        labelled = DigestFilter(held.select(digest.alias("digest")), held.count())  # others aren't read on
         rows = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
-        held = held.groupBy("id").agg(F.max("label").alias("label")).withColumn("hash", F.xxhash64("id", F.lit(11)))
-        held = scratch.save(held.join(rows.select("id"), "id", "left_semi"), "held")
-        sample = None
-        for value in (0, 1):  # both sides bounded by per_class
-            one = held.filter(F.col("label") == value).orderBy("hash", "id").limit(per_class)
-            sample = one if sample is None else sample.unionByName(one)
-        found = rows.join(F.broadcast(sample), "id").mapInArrow(_Features(TextCnn.fresh().buckets), "hash long, label int, n long, words binary")
-        found = scratch.save(found, "features")
-        before = F.sum("n").over(Window.partitionBy("label").orderBy("hash", "words").rowsBetween(Window.unboundedPreceding, -1))
-        found = found.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most_words)
-        got = found.select("hash", "label", "words").collect()  # of at most most_words words a class, and one document
+        models = [TextCnn.fresh(seed=k) for k in range(networks)]
+        found = rows.filter("id IS NOT NULL").filter(labelled.may_hold(digest)).mapInArrow(_Features(models[0].buckets), "id long, n long, words binary")
+        found = scratch.save(found, "features", compression="zstd")
+        shards = math.ceil((found.agg(F.sum("n")).first()[0] or 0) / SHARD_WORDS) or 1
+        shard = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(shards)).cast("int").alias("shard")
+        by_shard = [rows.select(shard, "*").groupBy("shard") for rows in (found, held)]
+        dealt = by_shard[0].cogroup(by_shard[1]).applyInArrow(_shard, SHARD)
+        dealt = scratch.save(dealt, "shards", maxRecordsPerFile="1")
+        scratch.drop("features")
+        words, *by_label = (v or 0 for v in dealt.agg(*(F.sum(c) for c in ("n", "clean", "toxic"))).first())
+        if not all(by_label):
+            scratch.close()
+            models[0].out[:] = 0
+            models[0].out_bias = -4.0
+            return ToxicityModel(models[0], np.zeros(len(LANGUAGES)))
+        a_pass = max(sum(by_label) / 64, words / STRETCH) / shards
+        passes = min(60, max(epochs, math.ceil(steps / max(1, a_pass))))
+        weight = min(20.0, max(1.0, by_label[0] / by_label[1]))
+        for k in range(passes if shards > 1 else 1):  # one shard takes all its passes in a task
+            models = _averaged(dealt, shards, [_Pass(m, n, weight, 1 if shards > 1 else passes, k) for n, m in enumerate(models)])
+        model = TextCnn.average(models)
+        scored = dealt.mapInArrow(_Logits(model), "logit double, language int, label int").toArrow()  # 16 bytes a labelled row
         scratch.close()
-        got.sort(key=lambda r: (r.hash, r.words))
-        width = 1 + len(PREFIXES)
-        texts = [np.frombuffer(r.words, dtype=np.int32).reshape(-1, width) for r in got]
-        y = np.array([r.label for r in got], dtype=np.float64)
-        if len(y) == 0 or y.min() == y.max():
-            model = TextCnn.fresh()
-            model.out[:] = 0
-            model.out_bias = -4.0
-            return ToxicityModel(model, np.zeros(len(LANGUAGES)))
-        fitted = np.arange(len(y)) % 5 != 4
-        passes = min(60, max(epochs, -(-steps * 64 // max(1, int(fitted.sum())))))
-        chosen = [t for t, f in zip(texts, fitted, strict=True) if f]
-        model = TextCnn.average([train(chosen, y[fitted], epochs=passes, seed=k) for k in range(networks)])
-        return ToxicityModel(model, _calibrated(model, texts, y, fitted))
+        scored = scored.sort_by([("logit", "ascending"), ("label", "ascending")])
+        logits, languages, y = (scored.column(n).to_numpy() for n in ("logit", "language", "label"))
+        return ToxicityModel(model, thresholds_by_language(logits, languages, y))
 
     def scores(self, docs: DataFrame, text: Column, keep: list[Column], schema: str) -> DataFrame:
         """``keep`` (as ``schema`` says) and score double for each row."""
@@ -220,42 +224,173 @@ class ToxicityModel:
         return scored
 
 
-def _calibrated(model: TextCnn, texts: list[np.ndarray], y: np.ndarray, fitted: np.ndarray) -> np.ndarray:
-    votes_of = np.zeros((model.buckets + 1, len(LANGUAGES)), np.float32)
-    for word, vote in _VOTES.items():
-        votes_of[word_features(word, model.buckets)[0]] = vote
-    logits, languages = [], []
-    kept = [t for t, f in zip(texts, fitted, strict=True) if not f]
-    for chosen in batches_of(kept, np.arange(len(kept))):
-        features, starts, lengths = laid_out([kept[k] for k in chosen], model.buckets)
-        logits.append(model.logits(model.word_shares(features), starts, lengths))
-        votes = np.add.reduceat(votes_of[features[:, 0]], starts, axis=0)
-        votes[:, -1] = 0.5
-        languages.append(votes.argmax(axis=1))
-    if not kept:
-        return np.zeros(len(LANGUAGES))
-    return thresholds_by_language(np.concatenate(logits), np.concatenate(languages), y[~fitted])
-
-
 @dataclass(frozen=True)
 class _Features:
-    """Batches of (id, text, label, hash) to the label and the words' features, with their number."""
+    """Batches of (id, text) to the number of words and the words, each its features in 64 bits."""
 
     buckets: int
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, int] = {}
+
+        def packed(texts: list[tuple[int, list[str]]]) -> pa.RecordBatch:
+            every = set().union(*(words for _, words in texts))
+            if len(known) + len(every) > CACHED_WORDS:
+                known.clear()
+            new = list(every.difference(known))
+            features = word_features(new, self.buckets).astype(np.int64)
+            known.update(zip(new, sum(features[:, k] << BITS * k for k in range(features.shape[1])).tolist(), strict=True))
+            rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)).tobytes() for _, words in texts]
+            columns = [pa.array([i for i, _ in texts], pa.int64()), pa.array([len(w) for _, w in texts], pa.int64()), pa.array(rows, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "n", "words"])
+
         for batch in batches:
-            for text, label, order in zip(*(batch.column(n).to_pylist() for n in ("text", "label", "hash")), strict=True):
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                words = words_of(text)
-                known.update((w, word_features(w, self.buckets)) for w in set(words).difference(known))
-                features = np.array([known[w] for w in words], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([order], pa.int64()), pa.array([label], pa.int32()), pa.array([len(words)], pa.int64()), pa.array([features.tobytes()], pa.binary())],
-                    ["hash", "label", "n", "words"],
-                )
+            held: list[tuple[int, list[str]]] = []
+            size = 0
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.append((key, words_of(text)))
+                size += len(held[-1][1])
+                if size > STRETCH:
+                    yield packed(held)
+                    held, size = [], 0
+            if held:
+                yield packed(held)
+
+
+BITS = 20
+SHARD = "shard int, n long, clean long, toxic long, lengths binary, labels binary, vocabulary binary, codes binary"
+_SHARD_TYPES = [("shard", pa.int32()), *((n, pa.int64()) for n in ("n", "clean", "toxic")), *((n, pa.binary()) for n in ("lengths", "labels", "vocabulary", "codes"))]
+PARAMETERS = "network int, part int, shard int, ids binary, weights binary, values binary"
+
+
+def _shard(rows: pa.Table, held: pa.Table) -> pa.Table:
+    """One row of a shard's labelled documents, in the order of id and words."""
+    ids, own = rows.column("id").to_numpy(), held.column("id").to_numpy()
+    by_id = np.argsort(own)
+    labelled = np.flatnonzero(np.isin(ids, own))
+    order = pc.sort_indices(rows, [("id", "ascending"), ("words", "ascending")]).to_numpy()
+    order = order[np.isin(order, labelled)]
+    if not len(order):
+        return pa.Table.from_batches([], pa.schema(_SHARD_TYPES))
+    found = [w.as_buffer() for w in rows.column("words")]
+    words = [np.frombuffer(found[k], np.int64) for k in order]
+    vocabulary = np.zeros(0, np.int64)
+    for low in range(0, len(words), 256):  # a part at a time, for the memory
+        vocabulary = np.union1d(vocabulary, np.concatenate(words[low : low + 256]))
+    codes = np.concatenate([np.searchsorted(vocabulary, w).astype(np.int32) for w in words])
+    labels = held.column("label").to_numpy()[by_id][np.searchsorted(own[by_id], ids[order])].astype(np.int8)
+    lengths = np.array([len(w) for w in words], np.int64)
+    values = [rows.column("shard")[0].as_py(), len(codes), int((labels == 0).sum()), int((labels == 1).sum())]
+    values += [c.tobytes() for c in (lengths, labels, vocabulary, codes)]
+    return pa.table({n: pa.array([v], t) for (n, t), v in zip(_SHARD_TYPES, values, strict=True)})
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, np.ndarray]]:
+    """Shards as (number, texts, labels)."""
+    types = {"lengths": np.int64, "labels": np.int8, "vocabulary": np.int64, "codes": np.int32}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lengths, labels, packed, codes = (np.frombuffer(batch.column(n)[k].as_buffer(), t) for n, t in types.items())
+            vocabulary = np.stack([packed >> BITS * j & (1 << BITS) - 1 for j in range(1 + len(PREFIXES))], axis=1).astype(np.int32)
+            yield batch.column("shard")[k].as_py(), Texts(vocabulary, np.split(codes, np.cumsum(lengths)[:-1])), labels
+
+
+@dataclass(frozen=True)
+class _Pass:
+    """Shards to how training on each moves a network's parameters, in 16 bits: parts of the embedding, and part -1."""
+
+    model: TextCnn
+    network: int
+    toxic_weight: float
+    passes: int
+    number: int
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, texts, labels in _documents(batches):
+            seed = [self.network, shard, self.number]
+            model, moved = train(self.model, texts, labels.astype(np.float64), self.toxic_weight, self.passes, seed=seed)
+            parts = [(-1, np.zeros(1, np.int32), model.dense() - self.model.dense())]
+            ids = np.flatnonzero(moved).astype(np.int32)
+            for part in np.unique(ids // PART_ROWS).tolist():
+                own = ids[ids // PART_ROWS == part]
+                parts.append((part, own, model.embedding[own] - self.model.embedding[own]))
+            columns = [
+                pa.array([self.network] * len(parts), pa.int32()),
+                pa.array([p for p, _, _ in parts], pa.int32()),
+                pa.array([shard] * len(parts), pa.int32()),
+                pa.array([i.tobytes() for _, i, _ in parts], pa.binary()),
+                pa.array([np.full(len(i), float(len(labels))).tobytes() for _, i, _ in parts], pa.binary()),
+                pa.array([v.astype(np.float16).tobytes() for _, _, v in parts], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["network", "part", "shard", "ids", "weights", "values"])
+
+
+def _merger(kind: type, at_once: int):
+    return lambda rows: _merged(rows, kind, at_once)
+
+
+def _merged(rows: pa.Table, kind: type, at_once: int) -> pa.Table:
+    """Of one part of a network the mean over shards, by their rows; of an embedding's row over those that moved it."""
+    rows = rows.sort_by("shard")
+    ids, weights = (np.concatenate([np.frombuffer(b.as_buffer(), t) for b in rows.column(n)]) for n, t in (("ids", np.int32), ("weights", np.float64)))
+    values = np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in rows.column("values")]).reshape(len(ids), -1)
+    order = np.argsort(ids, kind="stable")
+    ids, weights, values = ids[order], weights[order], values[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    total = np.add.reduceat(weights, first)
+    mean = np.add.reduceat(values * weights[:, None], first, axis=0) / total[:, None]
+    out = {n: rows.column(n).slice(0, 1) for n in ("network", "part")}
+    out["shard"] = pa.array([rows.column("shard")[0].as_py() // at_once], pa.int32())
+    for name, value in (("ids", ids[first]), ("weights", total), ("values", mean.astype(np.float32))):
+        out[name] = pa.array([value.tobytes()], pa.binary())
+    return pa.table(out)
+
+
+def _averaged(dealt: DataFrame, shards: int, passes: list[_Pass]) -> list[TextCnn]:
+    """The networks after a pass over all shards, which are merged MERGED_AT_ONCE at a time."""
+    trained = None
+    for one in passes:
+        found = dealt.mapInArrow(one, PARAMETERS)
+        trained = found if trained is None else trained.unionByName(found)
+    kind = np.float16
+    while True:
+        trained = trained.groupBy("network", "part", (F.col("shard") / MERGED_AT_ONCE).cast("int").alias("of")).applyInArrow(_merger(kind, MERGED_AT_ONCE), PARAMETERS)
+        kind = np.float32
+        shards = math.ceil(shards / MERGED_AT_ONCE)
+        if shards == 1:
+            break
+    models = [p.model.copy() for p in passes]
+    for r in trained.collect():  # as many as a network has parts
+        values = np.frombuffer(r["values"], np.float32)
+        if r.part < 0:
+            models[r.network].set_dense(models[r.network].dense() + values)
+        else:
+            ids = np.frombuffer(r.ids, np.int32)
+            models[r.network].embedding[ids] += values.reshape(len(ids), -1)
+    return models
+
+
+@dataclass(frozen=True)
+class _Logits:
+    """Shards to a row for each document: its logit, its guessed language and its label."""
+
+    model: TextCnn
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, buckets = self.model, self.model.buckets
+        votes_of = np.zeros((buckets + 1, len(LANGUAGES)), np.float32)
+        for word, vote in _VOTES.items():
+            votes_of[word_features([word], buckets)[0, 0]] = vote
+        for _, texts, labels in _documents(batches):
+            for chosen in batches_of(texts.lengths, np.arange(len(labels))):
+                features, words, starts, lengths = texts.laid_out(chosen, buckets)
+                hidden, _ = peaks(model, model.word_shares(features).T, words, starts, lengths)
+                logits = (hidden @ model.out + model.out_bias).astype(np.float64)
+                by_word = votes_of[features[:, 0]]
+                votes = np.array([by_word[words[s : s + n]].sum(axis=0) for s, n in zip(starts, lengths, strict=True)])
+                votes[:, -1] = 0.5
+                columns = [pa.array(logits), pa.array(votes.argmax(axis=1), pa.int32()), pa.array(labels[chosen], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["logit", "language", "label"])
 
 
 @dataclass(frozen=True)

@@ -219,6 +219,27 @@ def test_long_texts_are_learnt_from_and_scored_in_windows(spark, monkeypatch):
     assert np.allclose(whole, again, atol=1e-5) and (languages == guessed).all()
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 20_000, raising=False)  # several shards, merged in several steps
+    monkeypatch.setattr(toxicity, "MERGED_AT_ONCE", 2, raising=False)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abdeghiklmnorst") for _ in range(5)) for _ in range(300)]
+    order = [r.id for r in spark.range(7000).orderBy(F.xxhash64("id", F.lit(11)), "id").collect()]
+    rows, seen = [], 0
+    for k in order:  # the second word is only in toxic rows after the first 3,000 of that order
+        text = [rng.choice(words) for _ in range(10)]
+        if k % 2:
+            text[rng.randrange(10)] = "vile" if seen < 3000 else "grubby"
+            seen += 1
+        rows.append((k, " ".join(text), k % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], DOCS)
+    model = toxicity.ToxicityModel.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), steps=100)
+    texts = [(k, " ".join([*rng.sample(words, 9), word])) for k, word in enumerate(["grubby", "vile", "", "and"] * 25)]
+    scored = model.scores(spark.createDataFrame(texts, DOCS), F.col("text"), [F.col("doc_id")], "doc_id long").collect()
+    right = [(r.score >= 0.5) == (r.doc_id % 4 < 2) for r in scored]
+    assert sum(right) >= 97
+
+
 def test_classes_of_many_buckets(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "word " * (k % 3)) for k in range(200)], DOCS)
     want = packing.pack(docs, tokenizer_path()).agg(F.countDistinct("sequence_id"), F.sum("length"), F.count("*")).first()
