@@ -3,37 +3,131 @@
 A word's vector is the sum of hashed embeddings of the word and of its first letters, so that an unseen form of a
 known stem has a meaning. Filters of widths 1 to 3 slide over the whole text; each filter's largest response is the
 text's feature, and a linear layer makes the logit. As a filter's response is a sum over its positions, a word's
-share of it can be tabled once for each word: scoring is a gather, an add and a maximum.
+share of it is computed once for each distinct word: the rest is a gather, an add and a maximum by blocks of windows.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 
-WORD = re.compile(r"\w+")
+NO_WORD = re.compile(r"\W")
 PREFIXES = (4, 5)
 WIDTHS = (1, 2, 3)
+GAP = max(WIDTHS) - 1
 STRETCH = 60_000
-
-
-def word_features(words: list[str], buckets: int) -> np.ndarray:
-    """Hashed features of lower-cased words, a row each: the word itself and its prefixes, each kind salted by its length."""
-    out = np.empty((len(words), 1 + len(PREFIXES)), np.int32)
-    out[:, 0] = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) for w in words), np.uint32, len(words)) % buckets
-    for k, n in enumerate(PREFIXES):
-        stems = [w[:n] for w in words]
-        of = {s: zlib.crc32(s.encode("utf-8", "surrogatepass"), 2 + k) % buckets if len(s) == n else buckets for s in set(stems)}
-        out[:, k + 1] = np.fromiter(map(of.__getitem__, stems), np.int32, len(stems))
+PLACES = 16_384
+BLOCK = 16
+PIECE = 1 << 16
+BITS = 20
+BASE = 0x9E3779B97F4A7C15
+
+
+def _hash_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash's base from 0 on, and their inverses, modulo 2 ** 64."""
+    powers = np.full((2, size), [[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
+    powers[:, 0] = 1
+    return tuple(np.multiply.accumulate(powers, axis=1))
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which code points are a word's, as \\w has it, and the powers that a piece needs."""
+    inside = np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
+    inside[ord("_")] = True
+    return inside, *_hash_powers(2 * PIECE + 1)
+
+
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in pieces of 2 * PIECE code points at most, and whether a piece goes on with the word that the last one ended in."""
+    low, within = 0, False
+    while True:
+        end = len(text)
+        cut = None
+        if end - low > 2 * PIECE:
+            end = low + 2 * PIECE
+            if cut := NO_WORD.search(text, low + PIECE, end):
+                end = cut.start()
+        yield text[low:end], within
+        if end == len(text):
+            return
+        low, within = end, cut is None
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        values = (values ^ values >> np.uint64(33)) * np.uint64(factor)
+    return values ^ values >> np.uint64(33)
+
+
+def _packed(hashes: list[np.ndarray], lengths: np.ndarray, buckets: int) -> np.ndarray:
+    """A word's features, its own and those of its prefixes, in 64 bits: each hash's bucket, or ``buckets`` if it has no such prefix."""
+    out = np.zeros(len(lengths), np.int64)
+    for k, (found, n) in enumerate(zip(hashes, (0, *PREFIXES), strict=True)):
+        bucket = (_mixed(found + np.uint64(k)) % np.uint64(buckets)).astype(np.int64)
+        out |= np.where(lengths >= n, bucket, buckets) << BITS * k
     return out
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def packed_words(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the features of all words, lower-cased, one after another (see _packed).
+
+    Words are hashed from sums over code points, a piece at a time, so that no word is ever an object.
+    """
+    counts = np.zeros(len(texts), np.int64)
+    out: list[np.ndarray] = []
+    last: list = []  # hashes and length of the last word
+    held: list[tuple[int, str]] = []
+    inside_of, powers, inverse = _tables()
+
+    def look(goes_on: bool) -> None:
+        sizes = np.array([len(t) + 1 for _, t in held])
+        codes = np.frombuffer("\n".join(t for _, t in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.zeros(len(codes) + 2, bool)
+        inside_of.take(codes, out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * powers[: len(codes)], out=sums[1:])
+        before, shift, lengths = sums[starts], inverse[starts], ends - starts
+        hashes = [(sums[ends] - before) * shift, *((sums[np.minimum(starts + n, ends)] - before) * shift for n in PREFIXES)]
+        found = np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(sizes)]))
+        if goes_on and len(starts) and not starts[0]:  # the last word has more than its prefixes
+            hashes[0][0] = (int(hashes[0][0]) * pow(BASE, last[1], 1 << 64) + last[0][0]) % (1 << 64)
+            for k in range(len(PREFIXES)):
+                hashes[k + 1][0] = last[0][k + 1]
+            lengths[0] += last[1]
+            out[-1] = out[-1][:-1]
+            found[0] -= 1
+        np.add.at(counts, [k for k, _ in held], found)
+        if len(starts):
+            last[:] = [int(h[-1]) for h in hashes], int(lengths[-1])
+            out.append(_packed(hashes, lengths, buckets))
+        held.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        for piece, goes_on in _pieces(text.lower()):
+            if held and (goes_on or size + len(piece) + 1 > PIECE):
+                look(False)
+                size = 0
+            held.append((k, piece))
+            size += len(piece) + 1
+            if goes_on:
+                look(True)
+                size = 0
+    if held:
+        look(False)
+    return counts, np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    """The features of words, a row each."""
+    return np.stack([packed >> BITS * j & (1 << BITS) - 1 for j in range(1 + len(PREFIXES))], axis=1).astype(np.int32)
 
 
 @dataclass
@@ -74,19 +168,12 @@ class TextCnn:
         embedding = np.concatenate([m.embedding for m in models], axis=1)
         return TextCnn(embedding, filters, bias, out, float(np.mean([m.out_bias for m in models])))
 
-    def word_shares(self, features: np.ndarray) -> np.ndarray:
-        """For each word's features, its share of every filter at every position: (words, sum of widths * filters)."""
-        return self.vectors(features) @ self.table()
-
     def vectors(self, features: np.ndarray) -> np.ndarray:
         out = self.embedding.take(features[:, 0], axis=0)
         for k in range(1, features.shape[1]):
             out += self.embedding.take(features[:, k], axis=0)
         return out
 
-    def table(self) -> np.ndarray:
-        return np.concatenate([self.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
-
     def copy(self) -> TextCnn:
         filters, bias = ({w: v.copy() for w, v in held.items()} for held in (self.filters, self.bias))
         return TextCnn(self.embedding.copy(), filters, bias, self.out.copy(), self.out_bias)
@@ -102,85 +189,97 @@ class TextCnn:
             at += held.size
         self.out_bias = float(values[at])
 
-    def pooled(self, shares: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Largest response of each filter in each text.
-
-        ``shares`` has the texts one after another, each followed by max(WIDTHS) - 1 rows of zeros; a text has at
-        least one row. A window starts at each of a text's own rows.
-        """
-        f = len(self.bias[1])
-        best, column = [], 0
-        spans = np.stack([starts, starts + lengths], axis=1).ravel()
-        for w in WIDTHS:
-            n = len(shares) - w + 1
-            response = shares[:n, column : column + f].copy()
-            for k in range(1, w):
-                response += shares[k : n + k, column + k * f : column + (k + 1) * f]
-            column += w * f
-            top = np.maximum.reduceat(response[: spans[-1]], spans[:-1], axis=0)[::2]
-            best.append(np.maximum(top + self.bias[w], 0))
-        return np.concatenate(best, axis=1)
-
 
 @dataclass(frozen=True)
 class Texts:
-    """Texts as numbers of words: ``vocabulary`` (words, 1 + len(PREFIXES)) holds each word's features."""
+    """Texts as numbers of words, one after another: ``vocabulary`` holds each word's features, packed."""
 
     vocabulary: np.ndarray
-    codes: list[np.ndarray]
+    codes: np.ndarray
+    lengths: np.ndarray
 
-    @property
-    def lengths(self) -> np.ndarray:
-        return np.array([len(c) for c in self.codes], dtype=np.int64)
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.lengths)
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        return np.zeros(len(self.vocabulary) + 2, np.int32)
 
     def laid_out(self, chosen: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Some texts one after another with empty words between them: (features of their words, which one each is, starts, lengths)."""
-        gap, empty = max(WIDTHS) - 1, len(self.vocabulary)
-        parts, starts, lengths, at = [], [], [], 0
-        for i in chosen:
-            own = self.codes[i] if len(self.codes[i]) else np.array([empty], np.int32)
-            starts.append(at)
-            lengths.append(len(own))
-            parts += [own, np.full(gap, empty, np.int32)]
-            at += len(own) + gap
-        codes = np.concatenate(parts)
-        held = np.zeros(empty + 1, bool)
+        """Some texts one after another: (features of their words, which one each is, starts, lengths).
+
+        An empty text has the last word but one, which is empty; the last word fills what is between texts, at least GAP
+        places, so that each text starts at a multiple of BLOCK.
+        """
+        empty = len(self.vocabulary)
+        lengths = np.maximum(self.lengths[chosen], 1)
+        room = -(-(lengths + GAP) // BLOCK) * BLOCK
+        starts = np.cumsum(room) - room
+        codes = np.full(int(room.sum()) + GAP, empty + 1, np.int32)
+        for i, at in zip(chosen.tolist(), starts.tolist(), strict=True):
+            n, end = int(self.lengths[i]), int(self.ends[i])
+            codes[at : at + max(n, 1)] = self.codes[end - n : end] if n else empty
+        held = np.zeros(empty + 2, bool)
         held[codes] = True
+        held[empty] = True
         some = np.flatnonzero(held)
-        number = np.zeros(empty + 1, np.int32)
-        number[some] = np.arange(len(some))
+        self.number[some] = np.arange(len(some), dtype=np.int32)
         features = np.full((len(some), 1 + len(PREFIXES)), buckets, np.int32)
-        features[:-1] = self.vocabulary[some[:-1]]  # the empty word is the last
-        return features, number[codes], np.array(starts), np.array(lengths)
+        features[:-2] = unpacked(self.vocabulary[some[:-2]])
+        return features, self.number[codes], starts, lengths
 
 
-def peaks(model: TextCnn, shares: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest response of each filter in each text, and the place in ``words`` where its first such window starts.
+def peaks(
+    model: TextCnn, vectors: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, stretch: int = PLACES, places: bool = True, void: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter in each text, and, if asked for, the place in ``words`` where its first such window starts.
 
-    ``shares`` has a column for each word. The words are looked at in stretches, so that memory is bounded for any text.
+    ``vectors`` has a row for each word of texts as Texts lays them out. No window starts at a place in ``void``. The words
+    are looked at in stretches, so that memory is bounded for any text.
     """
-    f, gap = len(model.bias[1]), max(WIDTHS) - 1
-    shares = np.ascontiguousarray(shares)
+    f = len(model.bias[1])
+    columns = [vectors @ model.filters[w][k] for w in WIDTHS for k in range(w)]
     best = np.full((len(starts), f * len(WIDTHS)), -np.inf, np.float32)
     where = np.zeros(best.shape, np.int64)
     words = words.astype(np.intp)
-    total, every, ends = len(words) - gap, np.arange(f), starts + lengths
-    for low in range(0, total, STRETCH):
-        n = min(STRETCH, total - low)
-        inside = [(t, max(starts[t], low) - low, min(ends[t], low + n) - low) for t in np.flatnonzero((starts < low + n) & (ends > low)).tolist()]
+    total, every = len(words) - GAP, np.arange(f)
+    from_block, to_block = starts // BLOCK, -(-(starts + lengths) // BLOCK)
+    stretch = max(1, stretch // BLOCK)  # in blocks
+    for low in range(0, total // BLOCK, stretch):
+        high = min(low + stretch, total // BLOCK)
+        inside = np.flatnonzero((from_block < high) & (to_block > low))
+        if not len(inside):
+            continue
+        first = np.maximum(from_block[inside], low) - low
+        own = np.diff(np.r_[first, high - low])
+        number = np.arange(high - low)[:, None]
         column = 0
         for j, w in enumerate(WIDTHS):
-            response = shares[column : column + f].take(words[low : low + n], axis=1, mode="clip")
+            place = slice(low * BLOCK, high * BLOCK)
+            columns[column][-1] = -np.inf  # no window starts between texts
+            response = columns[column].take(words[place], axis=0, mode="clip")
             for k in range(1, w):
-                response += shares[column + k * f : column + (k + 1) * f].take(words[low + k : low + k + n], axis=1, mode="clip")
-            column += w * f
-            own = slice(j * f, (j + 1) * f)
-            for t, start, end in inside:
-                at = response[:, start:end].argmax(axis=1) + start
-                top = response[every, at]
-                better = top > best[t, own]
-                best[t, own] = np.where(better, top, best[t, own])
-                where[t, own] = np.where(better, at + low, where[t, own])
+                response += columns[column + k].take(words[place.start + k : place.stop + k], axis=0, mode="clip")
+            column += w
+            if void is not None:
+                response[void[(void >= place.start) & (void < place.stop)] - place.start] = -np.inf
+            response = response.reshape(high - low, BLOCK, f)
+            top, n = response, BLOCK
+            while n > 1:
+                n //= 2
+                top = np.maximum(top[:, :n], top[:, n:])
+            by_block = top.reshape(high - low, f)
+            top = np.maximum.reduceat(by_block, first, axis=0)
+            mine = inside[:, None], (j * f + every)[None, :]
+            better = top > best[mine]
+            if places:
+                lead = first[0]
+                hit = np.where(by_block[lead:] == np.repeat(top, own, axis=0), number[lead:], high - low)
+                block = np.minimum.reduceat(hit, first - lead, axis=0)
+                at = response[block, :, every[None, :]].argmax(axis=2) + (block + low) * BLOCK
+                where[mine] = np.where(better, at, where[mine])
+            best[mine] = np.where(better, top, best[mine])
     return np.maximum(best + np.concatenate([model.bias[w] for w in WIDTHS]), 0), where
 
 
@@ -205,7 +304,8 @@ class _Adam:
             self.state[name] = np.zeros_like(value), np.zeros_like(value)
         m, v = self.state[name]
         at = slice(None) if rows is None else rows
-        new_m, new_v = m[at] * 0.9 + 0.1 * gradient, v[at] * 0.999 + 0.001 * gradient**2
+        old_m, old_v = (m, v) if rows is None else (m.take(rows, axis=0), v.take(rows, axis=0))
+        new_m, new_v = old_m * 0.9 + 0.1 * gradient, old_v * 0.999 + 0.001 * gradient**2
         m[at], v[at] = new_m, new_v
         value[at] -= self.rate * (new_m / (1 - 0.9**self.step)) / (np.sqrt(new_v / (1 - 0.999**self.step)) + 1e-8)
 
@@ -231,7 +331,7 @@ def train(
         for chosen in batches_of(lengths_of, rng.permutation(len(labels)), batch):
             features, words, starts, lengths = texts.laid_out(chosen, model.buckets)
             vectors = model.vectors(features)
-            hidden, where = peaks(model, model.table().T @ vectors.T, words, starts, lengths)
+            hidden, where = peaks(model, vectors, words, starts, lengths)
             probability = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30)))
             slope = ((probability - labels[chosen]) * weight[chosen] / weight[chosen].sum()).astype(np.float32)
             adam.step += 1

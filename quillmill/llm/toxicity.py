@@ -2,10 +2,10 @@
 
 The classifier (see text_cnn) learns from every labelled row, whatever their number: the rows are dealt into shards of about
 SHARD_WORDS words, each pass trains on all shards side by side, from the same parameters, and the shards' parameters are
-averaged before the next pass. The networks' mean logits of all labelled rows calibrate the thresholds. Scores read the text alone. The language that picks a threshold is guessed from the text's own
-function words. A threshold that was calibrated to t maps to the score 0.5: score = 1 / (1 + exp(t - logit)).
+averaged before the next pass. The networks' mean logits of all labelled rows calibrate the thresholds. Scores read the
+text alone. The language that picks a threshold is guessed from the text's own function words, known by their features. A threshold that was calibrated to t maps to the score 0.5: score = 1 / (1 + exp(t - logit)).
 Scoring is a map over the rows without a shuffle; a filter's largest response in a text is the largest of those in its
-windows, so that memory is bounded for texts of any length.
+windows, so that memory is bounded for texts of any length; a batch is read ROWS_AT_ONCE rows at a time.
 
 Defined results. A null text counts as empty; an empty text has a score like any other. Texts of any length are learnt
 from and read whole. Rows without a usable label (null, or none at all) are not learnt from; if no label of one class remains, every
@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import DigestFilter, Scratch, crc_of_id, text_or_empty
-from .text_cnn import PREFIXES, STRETCH, WIDTHS, WORD, TextCnn, Texts, batches_of, peaks, train, word_features, words_of
+from .text_cnn import GAP, PLACES, STRETCH, TextCnn, Texts, batches_of, packed_words, peaks, train
 
 #: Common function words by language.
 FUNCTION_WORDS = {
@@ -36,90 +35,80 @@ FUNCTION_WORDS = {
     "es": "de la que el en y los se del las un por con no una su para es al lo como más",
 }
 LANGUAGES = (*FUNCTION_WORDS, "other")
-CACHED_WORDS = 60_000
 WORDS_AT_ONCE = 50_000
+CHARACTERS_AT_ONCE = 400_000
+ROWS_AT_ONCE = 256
 SHARD_WORDS = 4_000_000
 MERGED_AT_ONCE = 64
 PART_ROWS = 512
 
-_VOTES: dict[str, np.ndarray] = {}
-for _k, _words in enumerate(FUNCTION_WORDS.values()):
-    for _word in _words.split():
-        _VOTES.setdefault(_word, np.zeros(len(LANGUAGES), np.float32))[_k] = 1
-
-
 class _WordTable:
-    """Rows of word shares and language votes; starts again when full, so that memory stays bounded."""
+    """What scoring looks up: the network, and the function words' features with their votes for languages."""
 
     def __init__(self, model: TextCnn):
         self.model = model
-        self.row: dict[str, int] = {"": 0}
-        self.width = sum(WIDTHS) * len(model.bias[1])
-        self.shares = np.zeros((CACHED_WORDS + 1, self.width), np.float32)
-        self.votes = np.zeros((CACHED_WORDS + 1, len(LANGUAGES)), np.float32)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Row numbers of ``words``; row 0 is the empty word."""
-        new = [w for w in dict.fromkeys(words) if w not in self.row]
-        if len(self.row) + len(new) > CACHED_WORDS:
-            self.row = {"": 0}
-            new = [w for w in dict.fromkeys(words) if w]
-            if len(new) > len(self.shares) - 1:
-                self.shares = np.zeros((len(new) + 1, self.width), np.float32)
-                self.votes = np.zeros((len(new) + 1, len(LANGUAGES)), np.float32)
-        if new:
-            low = len(self.row)
-            self.shares[low : low + len(new)] = self.model.word_shares(word_features(new, self.model.buckets))
-            self.votes[low : low + len(new)] = 0
-            self.row.update(zip(new, range(low, low + len(new)), strict=True))
-            for word in _VOTES.keys() & set(new):
-                self.votes[self.row[word]] = _VOTES[word]
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-
-
-def _windows(text: str) -> Iterator[tuple[list[str], list[str]]]:
-    """A text's words in windows of WORDS_AT_ONCE, each with the words that filters at its end look ahead to."""
-    found = (m.group() for m in WORD.finditer(text.lower())) if len(text) > WORDS_AT_ONCE else iter(words_of(text))
-    window = list(islice(found, WORDS_AT_ONCE))
-    while True:
-        after = list(islice(found, WORDS_AT_ONCE))
-        yield window, after[: max(WIDTHS) - 1]
-        if not after:
-            return
-        window = after
+        votes: dict[str, np.ndarray] = {}
+        for k, words in enumerate(FUNCTION_WORDS.values()):
+            for word in words.split():
+                votes.setdefault(word, np.zeros(len(LANGUAGES), np.float32))[k] = 1
+        packed = packed_words(list(votes), model.buckets)[1]
+        order = np.argsort(packed)
+        self.packed = packed[order]
+        self.votes = np.stack(list(votes.values()))[order]
+
+    def voted(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The votes for each language among the words of each text, which are given one after another."""
+        at = np.minimum(np.searchsorted(self.packed, words), len(self.packed) - 1)
+        some = np.flatnonzero(self.packed[at] == words)
+        text = np.searchsorted(np.cumsum(counts), some, side="right")
+        own = [np.bincount(text, self.votes[at[some], k], len(counts)) for k in range(len(LANGUAGES))]
+        return np.stack(own, axis=1)
 
 
 def logits_and_languages(texts: list[str], table: _WordTable) -> tuple[np.ndarray, np.ndarray]:
     """For each text its logit and the number of its guessed language in LANGUAGES."""
-    gap = max(WIDTHS) - 1
-    largest = np.zeros((len(texts), len(table.model.out)), np.float32)  # responses are never below zero
-    votes = np.zeros((len(texts), len(LANGUAGES)), np.float32)
+    model = table.model
+    largest = np.zeros((len(texts), len(model.out)), np.float32)  # responses are never below zero
+    votes = np.zeros((len(texts), len(LANGUAGES)))
     owners: list[int] = []
-    lengths: list[int] = []
-    words: list[str] = []
+    windows: list[np.ndarray] = []
+    lengths: list[int] = []  # without the words that filters at a window's end look ahead to
+    held = 0
 
     def look() -> None:
-        spans = np.array(lengths)
-        starts = np.cumsum(spans + gap) - spans - gap
-        rows = table.rows(words)
-        hidden = table.model.pooled(table.shares[rows], starts, spans)
+        vocabulary, codes = np.unique(np.concatenate(windows), return_inverse=True)
+        laid = Texts(vocabulary, codes, np.array([len(w) for w in windows]))
+        features, words, starts, spans = laid.laid_out(np.arange(len(windows)), model.buckets)
+        own = np.maximum(lengths, 1)
+        ahead = np.concatenate([np.arange(s + n, s + m) for s, n, m in zip(starts, own, spans, strict=True) if m > n] or [np.zeros(0, np.int64)])
+        hidden, _ = peaks(model, model.vectors(features), words, starts, spans, min(PLACES, WORDS_AT_ONCE), places=False, void=ahead)
         np.maximum.at(largest, owners, hidden)
-        own = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, spans, strict=True)])
-        np.add.at(votes, owners, np.add.reduceat(table.votes[rows[own]], np.cumsum(spans) - spans, axis=0))
-        for held in (owners, lengths, words):
-            held.clear()
-
-    for k, text in enumerate(texts):
-        for window, after in _windows(text):
-            if words and len(words) + len(window) > WORDS_AT_ONCE:
-                look()
-            owners.append(k)
-            lengths.append(max(1, len(window)))
-            words += [*(window or [""]), *after, *[""] * (gap - len(after))]
-    if words:
+        for used in (owners, windows, lengths):
+            used.clear()
+
+    low = 0
+    while low < len(texts):
+        high, size = low + 1, len(texts[low])
+        while high < len(texts) and size + len(texts[high]) <= CHARACTERS_AT_ONCE:
+            size += len(texts[high])
+            high += 1
+        counts, found = packed_words(texts[low:high], model.buckets)
+        votes[low:high] = table.voted(counts, found)
+        for k, (n, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True), low):
+            for at in range(end - n, max(end, end - n + 1), WORDS_AT_ONCE):
+                own = min(WORDS_AT_ONCE, end - at)
+                if windows and held + own > WORDS_AT_ONCE:
+                    look()
+                    held = 0
+                owners.append(k)
+                lengths.append(own)
+                windows.append(found[at : min(at + own + GAP, end)])
+                held += own
+        low = high
+    if windows:
         look()
     votes[:, -1] = 0.5
-    return (largest @ table.model.out + table.model.out_bias).astype(np.float64), votes.argmax(axis=1)
+    return (largest @ model.out + model.out_bias).astype(np.float64), votes.argmax(axis=1)
 
 
 def thresholds_by_language(logits: np.ndarray, languages: np.ndarray, labels: np.ndarray, least: int = 20) -> np.ndarray:
@@ -219,7 +208,7 @@ class ToxicityModel:
         def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             table = _WordTable(score.model.cnn)
             for batch in texts:
-                yield pa.array(score.of([t.as_py() or "" for t in batch], table))
+                yield pa.array(score.of(batch, table))
 
         return scored
 
@@ -231,33 +220,14 @@ class _Features:
     buckets: int
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-
-        def packed(texts: list[tuple[int, list[str]]]) -> pa.RecordBatch:
-            every = set().union(*(words for _, words in texts))
-            if len(known) + len(every) > CACHED_WORDS:
-                known.clear()
-            new = list(every.difference(known))
-            features = word_features(new, self.buckets).astype(np.int64)
-            known.update(zip(new, sum(features[:, k] << BITS * k for k in range(features.shape[1])).tolist(), strict=True))
-            rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)).tobytes() for _, words in texts]
-            columns = [pa.array([i for i, _ in texts], pa.int64()), pa.array([len(w) for _, w in texts], pa.int64()), pa.array(rows, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["id", "n", "words"])
-
         for batch in batches:
-            held: list[tuple[int, list[str]]] = []
-            size = 0
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append((key, words_of(text)))
-                size += len(held[-1][1])
-                if size > STRETCH:
-                    yield packed(held)
-                    held, size = [], 0
-            if held:
-                yield packed(held)
-
-
-BITS = 20
+            ids, texts = batch.column("id"), batch.column("text")
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                counts, words = packed_words(texts.slice(low, ROWS_AT_ONCE).to_pylist(), self.buckets)
+                own = pa.array([w.tobytes() for w in np.split(words, np.cumsum(counts)[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(low, ROWS_AT_ONCE), pa.array(counts), own], ["id", "n", "words"])
+
+
 SHARD = "shard int, n long, clean long, toxic long, lengths binary, labels binary, vocabulary binary, codes binary"
 _SHARD_TYPES = [("shard", pa.int32()), *((n, pa.int64()) for n in ("n", "clean", "toxic")), *((n, pa.binary()) for n in ("lengths", "labels", "vocabulary", "codes"))]
 PARAMETERS = "network int, part int, shard int, ids binary, weights binary, values binary"
@@ -274,10 +244,12 @@ def _shard(rows: pa.Table, held: pa.Table) -> pa.Table:
         return pa.Table.from_batches([], pa.schema(_SHARD_TYPES))
     found = [w.as_buffer() for w in rows.column("words")]
     words = [np.frombuffer(found[k], np.int64) for k in order]
-    vocabulary = np.zeros(0, np.int64)
+    parts = []
     for low in range(0, len(words), 256):  # a part at a time, for the memory
-        vocabulary = np.union1d(vocabulary, np.concatenate(words[low : low + 256]))
-    codes = np.concatenate([np.searchsorted(vocabulary, w).astype(np.int32) for w in words])
+        some, number = np.unique(np.concatenate(words[low : low + 256]), return_inverse=True)
+        parts.append((some, number.astype(np.int32)))
+    vocabulary = np.unique(np.concatenate([some for some, _ in parts]))
+    codes = np.concatenate([np.searchsorted(vocabulary, some).astype(np.int32)[number] for some, number in parts])
     labels = held.column("label").to_numpy()[by_id][np.searchsorted(own[by_id], ids[order])].astype(np.int8)
     lengths = np.array([len(w) for w in words], np.int64)
     values = [rows.column("shard")[0].as_py(), len(codes), int((labels == 0).sum()), int((labels == 1).sum())]
@@ -291,8 +263,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts,
     for batch in batches:
         for k in range(batch.num_rows):
             lengths, labels, packed, codes = (np.frombuffer(batch.column(n)[k].as_buffer(), t) for n, t in types.items())
-            vocabulary = np.stack([packed >> BITS * j & (1 << BITS) - 1 for j in range(1 + len(PREFIXES))], axis=1).astype(np.int32)
-            yield batch.column("shard")[k].as_py(), Texts(vocabulary, np.split(codes, np.cumsum(lengths)[:-1])), labels
+            yield batch.column("shard")[k].as_py(), Texts(packed, codes, lengths), labels
 
 
 @dataclass(frozen=True)
@@ -377,17 +348,15 @@ class _Logits:
     model: TextCnn
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, buckets = self.model, self.model.buckets
-        votes_of = np.zeros((buckets + 1, len(LANGUAGES)), np.float32)
-        for word, vote in _VOTES.items():
-            votes_of[word_features([word], buckets)[0, 0]] = vote
+        model, table = self.model, _WordTable(self.model)
         for _, texts, labels in _documents(batches):
             for chosen in batches_of(texts.lengths, np.arange(len(labels))):
-                features, words, starts, lengths = texts.laid_out(chosen, buckets)
-                hidden, _ = peaks(model, model.word_shares(features).T, words, starts, lengths)
+                features, words, starts, lengths = texts.laid_out(chosen, model.buckets)
+                hidden, _ = peaks(model, model.vectors(features), words, starts, lengths, places=False)
                 logits = (hidden @ model.out + model.out_bias).astype(np.float64)
-                by_word = votes_of[features[:, 0]]
-                votes = np.array([by_word[words[s : s + n]].sum(axis=0) for s, n in zip(starts, lengths, strict=True)])
+                counts = texts.lengths[chosen]
+                own = texts.codes[texts.ends[chosen[0]] - counts[0] : texts.ends[chosen[-1]]]
+                votes = table.voted(counts, texts.vocabulary[own])
                 votes[:, -1] = 0.5
                 columns = [pa.array(logits), pa.array(votes.argmax(axis=1), pa.int32()), pa.array(labels[chosen], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["logit", "language", "label"])
@@ -397,15 +366,16 @@ class _Logits:
 class _Scores:
     model: ToxicityModel
 
-    def of(self, texts: list[str], table: _WordTable) -> np.ndarray:
-        logits, languages = logits_and_languages(texts, table)
+    def of(self, texts: pa.Array, table: _WordTable) -> np.ndarray:
+        parts = [logits_and_languages([t or "" for t in texts.slice(low, ROWS_AT_ONCE).to_pylist()], table) for low in range(0, len(texts), ROWS_AT_ONCE)]
+        logits, languages = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int64))
         return 1 / (1 + np.exp(np.clip(self.model.thresholds[languages] - logits, -50, 50)))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _WordTable(self.model.cnn)
         for batch in batches:
-            scores = self.of(batch.column("__text").to_pylist(), table)
             names = [n for n in batch.schema.names if n != "__text"]
+            scores = self.of(batch.column("__text"), table)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores)], [*names, "score"])
 
 

@@ -1,17 +1,20 @@
 """What must hold at every size and for odd rows: recall of codes, salted joins, filters, runs, long texts, deep markup."""
 
+import cProfile
 import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmill.llm import cap_join, exact_dedup, fixity, graph, hmm, html_wrappers, lm_scoring, mixing, packing, q_mixing, shared, toxicity
+from quillmill.llm import cap_join, exact_dedup, fixity, graph, hmm, html_wrappers, lm_scoring, mixing, packing, q_mixing, shared, text_cnn, toxicity
 from quillmill.llm.q_packing import tokenizer_path
 
 DOCS = "doc_id long, text string"
@@ -358,3 +361,59 @@ def test_keep_one_with_a_map_column(spark):
     docs = spark.createDataFrame([(1, "a", {"x": 1}), (1, "a", {"x": 1}), (2, "a", {}), (3, None, None)], "doc_id long, text string, m map<string,int>")
     assert sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()) == [2, 3]
     assert [r.doc_id for r in exact_dedup.keep_one(docs.filter("doc_id = 1")).collect()] == [1]
+
+
+def random_texts(n, words, seed=0):
+    """Texts of words that are hardly ever repeated."""
+    letters = np.random.default_rng(seed).integers(97, 123, (n, words, 7), np.uint8)
+    letters[:, :, -1] = 32
+    return [t.tobytes().decode() for t in letters]
+
+
+def calls_of(work):
+    """How many functions, Python's and built-in ones, are called in ``work``."""
+    profile = cProfile.Profile()
+    profile.runcall(work)
+    return sum(s.callcount for s in profile.getstats())
+
+
+def test_words_are_split_as_by_a_pattern(monkeypatch):
+    rng = random.Random(0)
+    texts = ["", "a", " ", "ΑΣ", "ΑΣ Β", "x_y"] + ["".join(rng.choice("abcdeéßİΣσ中_1٣ \n\t.-́\x00") for _ in range(rng.randrange(60))) for _ in range(2000)]
+    want = [re.findall(r"\w+", t.lower()) for t in texts]
+    of = None
+    for piece in (1 << 16, 40, 8):  # words of several pieces too
+        monkeypatch.setattr(text_cnn, "PIECE", piece)
+        counts, packed = text_cnn.packed_words(texts, 1 << 15)
+        assert counts.tolist() == [len(w) for w in want]
+        seen = dict(zip([w for words in want for w in words], packed.tolist(), strict=True))
+        assert [seen[w] for words in want for w in words] == packed.tolist()
+        assert of in (None, seen)
+        of = seen
+    assert len(set(of.values())) > 0.98 * len(of)
+
+
+def test_toxicity_calls_nothing_for_each_word():
+    texts = random_texts(200, 300)
+    model = text_cnn.TextCnn.fresh()
+    table = toxicity._WordTable(model)
+    toxicity.logits_and_languages(texts[:2], table)
+    assert calls_of(lambda: toxicity.logits_and_languages(texts, table)) < 200 * 300 / 10
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["id", "text"])
+    found = []
+    assert calls_of(lambda: found.extend(toxicity._Features(model.buckets)(iter([rows])))) < 200 * 300 / 10
+    found = pa.Table.from_batches(found).append_column("shard", pa.array([0] * 200, pa.int32()))
+    dealt = toxicity._shard(found, pa.table({"id": range(200), "label": [k % 2 for k in range(200)]})).to_batches()
+    assert calls_of(lambda: list(toxicity._Pass(model, 0, 1.0, 4, 0)(iter(dealt)))) < 4 * 200 * 20
+
+
+def test_toxicity_memory_does_not_grow_with_a_batch():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(random_texts(4000, 500))], ["doc_id", "__text"])
+    cnn = text_cnn.TextCnn.average([text_cnn.TextCnn.fresh(seed=k) for k in range(3)])
+    scores = toxicity._Scores(toxicity.ToxicityModel(cnn, np.zeros(len(toxicity.LANGUAGES))))
+    list(scores(iter([rows.slice(0, 2)])))
+    tracemalloc.start()
+    got = list(scores(iter([rows])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 4000 and most < 60e6
