@@ -3,7 +3,8 @@
 The classifier (see text_cnn) learns from every labelled row, whatever their number: the rows are dealt into shards of about
 SHARD_WORDS words, each pass trains on all shards side by side, from the same parameters, and the shards' parameters are
 averaged before the next pass. The networks' mean logits of all labelled rows calibrate the thresholds. Scores read the
-text alone. The language that picks a threshold is guessed from the text's own function words, known by their features. A threshold that was calibrated to t maps to the score 0.5: score = 1 / (1 + exp(t - logit)).
+text alone. The language that picks a threshold is guessed from the text's own function words, known by their features.
+A threshold that was calibrated to t maps to the score 0.5: score = 1 / (1 + exp(t - logit)).
 Scoring is a map over the rows without a shuffle; a filter's largest response in a text is the largest of those in its
 windows, so that memory is bounded for texts of any length; a batch is read ROWS_AT_ONCE rows at a time.
 
