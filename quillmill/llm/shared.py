@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -84,6 +86,16 @@ def close_scratch(spark: SparkSession) -> None:
         scratch.close()
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return free memory to the system: Python workers outlive their tasks, and several idle ones share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def crc_of_id(column: Column) -> Column:
     """crc32 of an id's decimal text, unsigned."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -6,7 +6,8 @@ averaged before the next pass. The networks' mean logits of all labelled rows ca
 text alone. The language that picks a threshold is guessed from the text's own function words, known by their features.
 A threshold that was calibrated to t maps to the score 0.5: score = 1 / (1 + exp(t - logit)).
 Scoring is a map over the rows without a shuffle; a filter's largest response in a text is the largest of those in its
-windows, so that memory is bounded for texts of any length; a batch is read ROWS_AT_ONCE rows at a time.
+windows, so that memory is bounded for texts of any length; a batch is read ROWS_AT_ONCE rows at a time. What a batch or
+a shard took is given back to the system after it.
 
 Defined results. A null text counts as empty; an empty text has a score like any other. Texts of any length are learnt
 from and read whole. Rows without a usable label (null, or none at all) are not learnt from; if no label of one class remains, every
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import DigestFilter, Scratch, crc_of_id, text_or_empty
+from .shared import DigestFilter, Scratch, crc_of_id, give_back, text_or_empty
 from .text_cnn import GAP, PLACES, STRETCH, TextCnn, Texts, batches_of, packed_words, peaks, train
 
 #: Common function words by language.
@@ -176,7 +177,7 @@ class ToxicityModel:
         shard = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(shards)).cast("int").alias("shard")
         by_shard = [rows.select(shard, "*").groupBy("shard") for rows in (found, held)]
         dealt = by_shard[0].cogroup(by_shard[1]).applyInArrow(_shard, SHARD)
-        dealt = scratch.save(dealt, "shards", maxRecordsPerFile="1")
+        dealt = scratch.save(dealt, "shards", maxRecordsPerFile="1", compression="zstd")  # others take buffers of a value's size outside the heap
         scratch.drop("features")
         words, *by_label = (v or 0 for v in dealt.agg(*(F.sum(c) for c in ("n", "clean", "toxic"))).first())
         if not all(by_label):
@@ -210,6 +211,7 @@ class ToxicityModel:
             table = _WordTable(score.model.cnn)
             for batch in texts:
                 yield pa.array(score.of(batch, table))
+                give_back()
 
         return scored
 
@@ -227,6 +229,7 @@ class _Features:
                 counts, words = packed_words(texts.slice(low, ROWS_AT_ONCE).to_pylist(), self.buckets)
                 own = pa.array([w.tobytes() for w in np.split(words, np.cumsum(counts)[:-1])], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(low, ROWS_AT_ONCE), pa.array(counts), own], ["id", "n", "words"])
+            give_back()
 
 
 SHARD = "shard int, n long, clean long, toxic long, lengths binary, labels binary, vocabulary binary, codes binary"
@@ -245,17 +248,27 @@ def _shard(rows: pa.Table, held: pa.Table) -> pa.Table:
         return pa.Table.from_batches([], pa.schema(_SHARD_TYPES))
     found = [w.as_buffer() for w in rows.column("words")]
     words = [np.frombuffer(found[k], np.int64) for k in order]
+    lengths = np.array([len(w) for w in words], np.int64)
     parts = []
     for low in range(0, len(words), 256):  # a part at a time, for the memory
         some, number = np.unique(np.concatenate(words[low : low + 256]), return_inverse=True)
         parts.append((some, number.astype(np.int32)))
     vocabulary = np.unique(np.concatenate([some for some, _ in parts]))
-    codes = np.concatenate([np.searchsorted(vocabulary, some).astype(np.int32)[number] for some, number in parts])
+    codes, at = np.empty(lengths.sum(), np.int32), 0
+    for k, (some, number) in enumerate(parts):
+        codes[at : at + len(number)] = np.searchsorted(vocabulary, some)[number]
+        at += len(number)
+        parts[k] = None
     labels = held.column("label").to_numpy()[by_id][np.searchsorted(own[by_id], ids[order])].astype(np.int8)
-    lengths = np.array([len(w) for w in words], np.int64)
     values = [rows.column("shard")[0].as_py(), len(codes), int((labels == 0).sum()), int((labels == 1).sum())]
-    values += [c.tobytes() for c in (lengths, labels, vocabulary, codes)]
-    return pa.table({n: pa.array([v], t) for (n, t), v in zip(_SHARD_TYPES, values, strict=True)})
+    columns = [*(pa.array([v], t) for (_, t), v in zip(_SHARD_TYPES, values, strict=False)), *(_whole(c) for c in (lengths, labels, vocabulary, codes))]
+    give_back()
+    return pa.Table.from_arrays(columns, [n for n, _ in _SHARD_TYPES])
+
+
+def _whole(values: np.ndarray) -> pa.Array:
+    """An array's bytes as one binary value, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, values.nbytes], np.int32)), pa.py_buffer(values)])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, np.ndarray]]:
@@ -265,6 +278,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts,
         for k in range(batch.num_rows):
             lengths, labels, packed, codes = (np.frombuffer(batch.column(n)[k].as_buffer(), t) for n, t in types.items())
             yield batch.column("shard")[k].as_py(), Texts(packed, codes, lengths), labels
+            give_back()
 
 
 @dataclass(frozen=True)
@@ -378,6 +392,7 @@ class _Scores:
             names = [n for n in batch.schema.names if n != "__text"]
             scores = self.of(batch.column("__text"), table)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores)], [*names, "score"])
+            give_back()
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

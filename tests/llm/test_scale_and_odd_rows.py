@@ -5,8 +5,11 @@ import collections
 import math
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -417,3 +420,37 @@ def test_toxicity_memory_does_not_grow_with_a_batch():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(b.num_rows for b in got) == 4000 and most < 60e6
+
+
+KEPT = """
+import re, sys
+import numpy as np, pyarrow as pa
+from quillmill.llm import text_cnn, toxicity
+
+def held():
+    return int(re.search(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def work(docs):
+    rng = np.random.default_rng(0)
+    words = [pa.array([w.tobytes()], pa.binary()) for w in rng.integers(0, 300_000, (docs, 1000))]
+    ids = pa.array(range(docs))
+    rows = pa.table({"shard": pa.array([0] * docs, pa.int32()), "id": ids, "n": [1000] * docs, "words": pa.chunked_array(words)})
+    shard = toxicity._shard(rows, pa.table({"id": ids, "label": pa.array([k % 2 for k in range(docs)], pa.int32())}))
+    assert shard["n"].to_pylist() == [1000 * docs] and shard["codes"].nbytes >= 4000 * docs
+    return shard
+
+work(20)
+before = held()
+work(3000)
+work(20)
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="memory is read from /proc")
+def test_toxicity_shard_gives_its_memory_back():
+    """A Python worker outlives its task: what a large shard took and a small one after it leaves is missing to later stages."""
+    root = Path(__file__).parents[2]
+    ran = subprocess.run([sys.executable, "-c", KEPT], cwd=root, capture_output=True, text=True, timeout=120, check=False)
+    assert ran.returncode == 0, ran.stderr
+    assert float(ran.stdout) < 40
