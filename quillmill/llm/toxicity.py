@@ -177,7 +177,7 @@ class ToxicityModel:
         shard = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(shards)).cast("int").alias("shard")
         by_shard = [rows.select(shard, "*").groupBy("shard") for rows in (found, held)]
         dealt = by_shard[0].cogroup(by_shard[1]).applyInArrow(_shard, SHARD)
-        dealt = scratch.save(dealt, "shards", maxRecordsPerFile="1", compression="zstd")  # others take buffers of a value's size outside the heap
+        dealt = scratch.save(dealt, "shards", maxRecordsPerFile="1", compression="uncompressed")  # codes are compressed already
         scratch.drop("features")
         words, *by_label = (v or 0 for v in dealt.agg(*(F.sum(c) for c in ("n", "clean", "toxic"))).first())
         if not all(by_label):
@@ -261,11 +261,23 @@ def _shard(rows: pa.Table, held: pa.Table) -> pa.Table:
         parts[k] = None
     labels = held.column("label").to_numpy()[by_id][np.searchsorted(own[by_id], ids[order])].astype(np.int8)
     values = [rows.column("shard")[0].as_py(), len(codes), int((labels == 0).sum()), int((labels == 1).sum())]
-    columns = [*(pa.array([v], t) for (_, t), v in zip(_SHARD_TYPES, values, strict=False)), *(_whole(c) for c in (lengths, labels, vocabulary, codes))]
+    columns = [*(pa.array([v], t) for (_, t), v in zip(_SHARD_TYPES, values, strict=False)), *(_whole(c) for c in (lengths, labels, vocabulary, _squeezed(codes)))]
     give_back()
     return pa.Table.from_arrays(columns, [n for n, _ in _SHARD_TYPES])
 
 
+def _squeezed(codes: np.ndarray) -> np.ndarray:
+    """Codes compressed, all their lowest bytes first: every pass takes them through the JVM again."""
+    planes = np.ascontiguousarray(codes.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return np.frombuffer(pa.compress(pa.py_buffer(planes), codec="zstd"), np.uint8)
+
+
+def _codes(squeezed: pa.Buffer, n: int) -> np.ndarray:
+    """``n`` codes that _squeezed has compressed."""
+    planes = np.frombuffer(pa.decompress(squeezed, 4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 def _whole(values: np.ndarray) -> pa.Array:
     """An array's bytes as one binary value, without a copy."""
     return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, values.nbytes], np.int32)), pa.py_buffer(values)])
@@ -273,10 +285,11 @@ def _whole(values: np.ndarray) -> pa.Array:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, np.ndarray]]:
     """Shards as (number, texts, labels)."""
-    types = {"lengths": np.int64, "labels": np.int8, "vocabulary": np.int64, "codes": np.int32}
+    types = {"lengths": np.int64, "labels": np.int8, "vocabulary": np.int64}
     for batch in batches:
         for k in range(batch.num_rows):
-            lengths, labels, packed, codes = (np.frombuffer(batch.column(n)[k].as_buffer(), t) for n, t in types.items())
+            lengths, labels, packed = (np.frombuffer(batch.column(n)[k].as_buffer(), t) for n, t in types.items())
+            codes = _codes(batch.column("codes")[k].as_buffer(), int(lengths.sum()))
             yield batch.column("shard")[k].as_py(), Texts(packed, codes, lengths), labels
             give_back()
 
