@@ -146,17 +146,17 @@ def column_index(letters: Column) -> Column:
     """A spreadsheet column's letters as its number from 0; -1 without letters."""
     letters = F.upper(F.regexp_extract(letters, "^([A-Za-z]*)", 1))
     values = F.filter(F.split(letters, ""), lambda c: c != "")
-    return F.aggregate(values, F.lit(0), lambda held, c: held * 26 + F.ascii(c) - 64) - 1
+    return (F.aggregate(values, F.lit(0).cast("long"), lambda held, c: held * 26 + F.ascii(c) - 64) - 1).cast("int")
 
 
 def column_letters(index: Column) -> Column:
-    """The letters of a spreadsheet column from its number from 0 (up to three letters)."""
-    one = index + 1
-    low = F.pmod(one - 1, F.lit(26))
-    rest = F.floor((one - 1) / 26)
-    middle = F.when(rest > 0, F.pmod(rest - 1, F.lit(26)))
-    high = F.when(rest > 26, F.pmod(F.floor((rest - 1) / 26) - 1, F.lit(26)))
-    return F.concat(*[F.coalesce(F.char((v + 65).cast("long")), F.lit("")) for v in (high, middle, low)])
+    """The letters of a spreadsheet column from its number from 0, as many as it takes; '' for numbers below 0."""
+    index, letters, first = index.cast("long"), [], 0
+    for k in range(7):  # 26 to the 7th is beyond a 32-bit number
+        place = F.pmod(F.floor((index - first) / float(26**k)), F.lit(26)) + 65
+        letters.insert(0, F.when(index >= first, F.char(place.cast("long"))).otherwise(F.lit("")))
+        first += 26 ** (k + 1)
+    return F.concat(*letters)
 
 
 def repaired(text: Column, merge_hyphens, half: bool = True, special: bool = True, hyphens: bool = True, noise: bool = True) -> Column:

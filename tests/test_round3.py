@@ -13,3 +13,18 @@ def test_page_with_carriage_returns_is_read_as_its_sql_does(spark, tmp_path):
     spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = duckdb.sql(registry.ORACLE_SQL["html_to_markdown"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, registry.QUERIES["html_to_markdown"](spark, str(tmp_path)).collect())) == sorted(found)
+
+
+def test_column_letters_of_any_number(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillmill.formats import sheets
+    from quillmill.functions.text import column_index, column_letters
+
+    numbers = [-1, 0, 25, 26, 701, 702, 18277, 18278, 19999, 475253, 475254, 12356629, 12356630, 2**31 - 1]
+    rows = spark.createDataFrame([(k,) for k in numbers], "p_partkey int")
+    found = rows.select("p_partkey", column_letters(F.col("p_partkey")), column_index(column_letters(F.col("p_partkey")))).collect()
+    assert [tuple(r) for r in found] == [(k, sheets.column_letters(k), k) for k in numbers]
+    rows.filter("p_partkey BETWEEN 0 AND 12356629").write.parquet(f"{tmp_path}/part.parquet")
+    shown = duckdb.sql(f"SELECT k, letters, back FROM ({registry.ORACLE_SQL['sheet_column_names'].replace('FROM part', f"FROM '{tmp_path}/part.parquet/*.parquet'")})").fetchall()
+    assert sorted(map(tuple, registry.QUERIES["sheet_column_names"](spark, str(tmp_path)).collect())) == sorted(shown)
