@@ -9,10 +9,9 @@ def table(rows: list[list[str]], newline: str | None = None, escape: bool = True
     if not wide:
         return ""
 
-    def shown(value: str) -> str:
-        if escape:
-            value = value.replace("|", "\\|")
-        return value if newline is None else value.replace("\n", newline)
-
-    lines = ["| " + " | ".join([*map(shown, r), *[""] * (wide - len(r))]) + " |" for r in rows]
+    if escape:
+        rows = [[value.replace("|", "\\|") for value in r] for r in rows]
+    if newline is not None:
+        rows = [[value.replace("\n", newline) for value in r] for r in rows]
+    lines = ["| " + " | ".join(r if len(r) == wide else [*r, *[""] * (wide - len(r))]) + " |" for r in rows]
     return "\n".join([lines[0], "|" + " --- |" * wide, *lines[1:]]) + ending

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..formats import books, html, images, mail, opendocument, outlook, plain, sheets, slides, styled, word
 from ..formats.errors import ConversionError
 from ..settings import Settings
-from ..sources.files import batch_of
-from ..sources.kinds import EXTENSIONS, base_name, with_kind
+from ..sources.files import entries_in, slices
+from ..sources.kinds import EXTENSIONS, base_name, extension_in, kind_in, name_in, with_kind
 
 RESULT = "path string, kind string, status string, error string, message string, markdown string"
 
@@ -76,21 +76,33 @@ def convert_one(kind: str | None, data: bytes | None, name: str, escape_pipes: b
         return "failed", "malformed", f"{type(e).__name__}: {e}", None
 
 
+def _rows(path: str | None, kind: str | None, name: str | None, content: bytes | None, escape_pipes: bool) -> Iterator[tuple]:
+    """A file's row of RESULT, or one for each convertible entry of an archive and for each that can't be unpacked."""
+    if kind != "zip":
+        yield (path, kind, *convert_one(kind, content, name or "", escape_pipes))
+        return
+    for entry, data, error in entries_in(content or b""):
+        whole = entry if path is None else f"{path}/{entry}"
+        if error is not None:
+            yield whole, extension_in(whole), "failed", "unzip_failed", error, None
+        elif (known := extension_in(entry)) in EXTENSIONS and known != "zip":
+            found = kind_in(whole, data)
+            yield (whole, found, *convert_one(found, data, name_in(whole), escape_pipes))
+
+
 def convert_batches(batches: Iterator[pa.RecordBatch], escape_pipes: bool = True) -> Iterator[pa.RecordBatch]:
-    """Batches of (path, kind, name, content, error) to RESULT; a batch is cut so that its Markdown stays small."""
+    """Batches of (path, kind, name, content) to RESULT, in pieces whose Markdown stays small."""
     names = [c.split()[0] for c in RESULT.split(", ")]
     for batch in batches:
         rows, held = [], 0
-        for path, kind, name, content, error in zip(*(batch.column(k) for k in range(5)), strict=True):
-            if error.as_py() is not None:
-                rows.append((path.as_py(), kind.as_py(), "failed", "unzip_failed", error.as_py(), None))
-                continue
-            done = convert_one(kind.as_py(), content.as_py(), name.as_py() or "", escape_pipes)
-            rows.append((path.as_py(), kind.as_py(), *done))
-            held += len(done[-1] or "")
-            if held > 16 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
-                rows, held = [], 0
+        for piece in slices(batch):
+            for file in zip(*(piece.column(k).to_pylist() for k in range(4)), strict=True):
+                for row in _rows(*file, escape_pipes):
+                    rows.append(row)
+                    held += len(row[-1] or "")
+                    if held > 4 << 20 or len(rows) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+                        rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
 
@@ -98,15 +110,12 @@ def convert_batches(batches: Iterator[pa.RecordBatch], escape_pipes: bool = True
 def convert(files: DataFrame, settings: Settings | None = None, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """``files`` (path, content) as rows of RESULT; archives give a row for each convertible entry.
 
-    The map has no shuffle. Archives are unpacked by a map of their own, so that entries of a large one spread when the
-    caller deals them out again. Of the settings, ``escape_pipes`` says whether pipes in web tables are protected.
+    One map without shuffle: ``files`` is computed once, and archives are unpacked entry by entry where they are read. Of
+    the settings, ``escape_pipes`` says whether pipes in web tables are protected.
     """
     escape_pipes = settings is None or settings.escape_pipes
-    kinds = with_kind(files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
-    kinds = kinds.withColumn("error", F.lit(None).cast("string"))
-    entries = with_kind(batch_of(kinds.filter("kind = 'zip'"))).select("path", "content", "error", "kind")
-    rows = kinds.filter("kind IS NULL OR kind <> 'zip'").select("path", "content", "error", "kind").unionByName(entries)
-    rows = rows.select("path", "kind", base_name(F.col("path")).alias("name"), "content", "error")
+    rows = with_kind(files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
+    rows = rows.select("path", "kind", base_name(F.col("path")).alias("name"), "content")
     return rows.mapInArrow(lambda batches: convert_batches(batches, escape_pipes), RESULT)
 
 

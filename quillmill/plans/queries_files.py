@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import extraction
 from ..operators import quality
 from ..sinks.files import write_files
+from ..sources.files import slices
 from ..streaming.folders import convert_stream, watched
 from ..tables import read_table, shared_folder
 from . import queries_text, samples
@@ -26,9 +27,12 @@ ORACLE_SQL: dict[str, str] = {}
 def _made(make: Callable[[int, samples.Lines], bytes], kind: str) -> Callable:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            orders, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            files = [make(o, [(x["n"], x["p"], x["f"]) for x in held]) for o, held in zip(orders, lines, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([f"in/{o}.{kind}" for o in orders]), pa.array(files, pa.binary())], ["path", "content"])
+            for piece in slices(batch):
+                orders, held = piece.column(0).to_pylist(), piece.column(1)
+                lines = list(zip(*(f.to_pylist() for f in held.flatten().flatten()), strict=True))
+                ends = held.offsets.to_pylist()
+                files = [make(o, lines[a - ends[0] : b - ends[0]]) for o, a, b in zip(orders, ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"in/{o}.{kind}" for o in orders]), pa.array(files, pa.binary())], ["path", "content"])
 
     return batches
 
@@ -38,7 +42,7 @@ def _file_query(name: str, kind: str, make: Callable[[int, samples.Lines], bytes
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("f"))
-        orders = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        orders = _lines(spark, sf_dir, dealt=True).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
         files = orders.mapInArrow(_made(make, kind), "path string, content binary")
         return convert(files).select("path", "kind", "status", "markdown")
 

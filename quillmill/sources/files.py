@@ -39,7 +39,7 @@ def from_buffer(spark: SparkSession, data: bytes, extension: str) -> DataFrame:
     return spark.createDataFrame([(name, None, len(data), bytearray(data))], FILES)
 
 
-def _entries(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+def entries_in(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             for info in archive.infolist():
@@ -49,7 +49,7 @@ def _entries(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
                     yield info.filename, archive.read(info), None
                 except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError) as e:
                     yield info.filename, None, str(e) or type(e).__name__
-    except (zipfile.BadZipFile, ValueError, OSError) as e:
+    except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError) as e:
         yield "", None, str(e) or type(e).__name__
 
 
@@ -59,7 +59,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             rows, held = [], 0
-            for entry in _entries(content.as_py() or b""):
+            for entry in entries_in(content.as_py() or b""):
                 rows.append((path.as_py(), *entry))
                 held += len(entry[1] or b"")
                 if held > 32 << 20:
@@ -83,6 +83,13 @@ def batch_of(archives: DataFrame, path_col: str = "path", content_col: str = "co
     return kept.select(F.concat_ws("/", "path", "entry").alias("path"), "content", "error")
 
 
+def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most 1,024 rows and about ``most`` bytes, so that few values are Python objects at once."""
+    step = max(1, min(1024, most * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A word list: one a line, blank lines and # comments left out."""
     lines = spark.read.text(path).select(F.trim("value").alias("word"))

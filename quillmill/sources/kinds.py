@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,31 @@ def resolved_kind(extension: Column, head_hex: Column) -> Column:
     return F.when(magic.isNull() | family, extension).otherwise(magic)
 
 
+def extension_in(path: str) -> str:
+    """``extension_of`` in Python, for entries of archives that are unpacked there."""
+    found = re.search(r"[^/]\.([^./]+)$", path)
+    return found.group(1).lower() if found else ""
+
+
+def name_in(path: str) -> str:
+    """``base_name`` in Python."""
+    return re.sub(r"(?<=.)\.[^.]*$", "", re.search(r"([^/]*)$", path).group(1))
+
+
+def kind_in(path: str, head: bytes | None) -> str:
+    """The kind in Python, as ``with_kind`` finds it."""
+    extension = extension_in(path)
+    if head is None:
+        return extension
+    known = head[:HEAD].hex().upper()
+    magic = next((kind for prefix, kind in SIGNATURES if known.startswith(prefix)), None)
+    if magic is None and head[4:8] == b"ftyp" and head[8:12].hex() in [b.encode().hex() for b in BRANDS]:
+        magic = "heic"
+    if magic is None and head.startswith(b"RIFF") and head[8:12] == b"WEBP":
+        magic = "webp"
+    return extension if magic is None or extension in FAMILIES.get(magic, ()) else magic
+
+
 def is_supported(extension: Column) -> Column:
     return extension.isin(*EXTENSIONS)
 

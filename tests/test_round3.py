@@ -28,3 +28,43 @@ def test_column_letters_of_any_number(spark, tmp_path):
     rows.filter("p_partkey BETWEEN 0 AND 12356629").write.parquet(f"{tmp_path}/part.parquet")
     shown = duckdb.sql(f"SELECT k, letters, back FROM ({registry.ORACLE_SQL['sheet_column_names'].replace('FROM part', f"FROM '{tmp_path}/part.parquet/*.parquet'")})").fetchall()
     assert sorted(map(tuple, registry.QUERIES["sheet_column_names"](spark, str(tmp_path)).collect())) == sorted(shown)
+
+
+def test_files_of_a_query_are_made_once(spark):
+    """Both branches of a union, for archives and for other files, used to make all files."""
+    for name in ("xlsx_to_markdown",):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 2, name
+
+
+def test_python_work_is_dealt_to_all_cores(spark):
+    rows = registry.QUERIES["xlsx_to_markdown"](spark, "/root/testdata/sf0.01")
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_sample_archives_are_those_of_zipfile():
+    import io
+    import zipfile
+
+    from quillmill.formats.package import Package
+    from quillmill.plans import samples
+
+    entries = {"a/é.xml": "<a>ü</a>", "b": ""}
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, content in {"a.xml": "<a>ü</a>", "b": ""}.items():
+            z.writestr(zipfile.ZipInfo(name), content)
+    assert samples._zipped({"a.xml": "<a>ü</a>", "b": ""}) == held.getvalue()
+    with zipfile.ZipFile(held := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in entries.items():
+            z.writestr(name, content)
+    assert {n: Package(held.getvalue()).read(n).decode() for n in entries} == entries
+
+
+def test_archive_of_a_later_version_is_a_row():
+    from quillmill.plans import samples
+    from quillmill.plans.convert import convert_one
+
+    data = samples.xlsx(1, [(1, 2, "A")])
+    at = data.index(b"PK\1\2") + 6
+    assert convert_one("xlsx", data[:at] + b"\xff" + data[at + 1 :], "n")[:2] == ("failed", "unzip_failed")
