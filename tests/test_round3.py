@@ -32,7 +32,7 @@ def test_column_letters_of_any_number(spark, tmp_path):
 
 def test_files_of_a_query_are_made_once(spark):
     """Both branches of a union, for archives and for other files, used to make all files."""
-    for name in ("xlsx_to_markdown", "mobi_to_markdown", "msg_to_markdown", "xml_to_markdown", "epub_to_markdown", "multipart_mail_to_markdown", "rtf_to_markdown", "html_file_to_markdown", "pptx_to_markdown", "json_to_markdown", "csv_file_to_markdown", "docx_to_markdown"):
+    for name in ("xlsx_to_markdown", "mobi_to_markdown", "msg_to_markdown", "xml_to_markdown", "epub_to_markdown", "multipart_mail_to_markdown", "rtf_to_markdown", "html_file_to_markdown", "pptx_to_markdown", "json_to_markdown", "csv_file_to_markdown", "docx_to_markdown", "odt_to_markdown"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 2, name
 
