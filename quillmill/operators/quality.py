@@ -43,6 +43,13 @@ def page_confidence(observations: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page").join(means, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("mean", F.lit(0.0)).alias("confidence"))
 
 
+def by_document(rows: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``rows`` dealt by document once, in parts of about 4 MB as they are stored, so that what is grouped or sorted by
+    document later stays where it is and fits in a task's memory."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, size >> 22), by)
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """(doc_id, page, words)."""
     return pages.select("doc_id", "page", F.size(tokens_of(F.col("text"))).cast("long").alias("words"))
@@ -97,6 +104,20 @@ def with_context(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("context", _context(F.col("text"), F.col("raw"))).drop("text", "raw")
 
 
+def top_with_context(tokens: DataFrame, pages: DataFrame, most: int = SHOWN) -> DataFrame:
+    """``top_suspicious`` with context. A document's few tokens are one value, which meets its pages by doc_id alone:
+    where pages lie by doc_id, nothing is shuffled for it."""
+    if "context" in tokens.columns:
+        return top_suspicious(tokens, most)
+    top = top_suspicious(tokens, most)
+    own = [c for c in top.columns if c != "doc_id"]
+    held = top.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("top"), F.min("page").alias("first"), F.max("page").alias("last"))
+    rows = pages.select("doc_id", F.col("page").alias("at"), "text").join(held, "doc_id").filter((F.col("at") >= F.col("first")) & (F.col("at") <= F.col("last")))
+    found = rows.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode(F.filter("top", lambda t: t["page"] == F.col("at"))).alias("t"))
+    found = found.select("doc_id", "t.*", F.get("lines", F.col("t.line") - 1).alias("text"))
+    return found.withColumn("context", _context(F.col("text"), F.col("raw"))).drop("text", "raw")
+
+
 def corrections_between(pages: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
     """(doc_id, page, original, corrected) where texts of as many tokens differ in a token."""
     split = [F.split(c, r"[\s\p{Z}]", -1).alias(n) for c, n in ((before, "b"), (after, "a"))]
@@ -135,7 +156,8 @@ def report(
 ) -> DataFrame:
     """(doc_id, report): the text of each document's report. ``name`` is the file name shown, over ``doc_id``.
 
-    ``tokens`` are those of suspicious_tokens; context is only found for those that are listed.
+    ``tokens`` are those of suspicious_tokens; context is only found for those that are listed. All parts are grouped and
+    joined by doc_id, or by it and more: over pages that were dealt by doc_id (``by_document``) nothing is shuffled again.
     """
     title = F.col("doc_id").cast("string") if name is None else name
     low = F.col("confidence") < LEAST_CONFIDENCE
@@ -146,8 +168,7 @@ def report(
     )
     by_page = _listed(confidence, ["page"], marked, "by_page")
     shown = F.format_string('  Page %d, Line %d: "%s" (context: ...%s...)', "page", "line", "token", "context")
-    top = top_suspicious(tokens)
-    listed = _listed(top if "context" in top.columns else with_context(top, pages), ["rank"], shown, "listed")
+    listed = _listed(top_with_context(tokens, pages), ["rank"], shown, "listed")
     counts = correction_counts(corrections)
     times = F.concat(F.col("n").cast("string"), F.lit(" occurrence"), F.when(F.col("n") == 1, F.lit("")).otherwise(F.lit("s")))
     change = F.concat(F.lit("  "), F.col("original"), F.lit(" → "), F.col("corrected"), F.lit(" ("), times, F.lit(")"))

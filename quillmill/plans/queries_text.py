@@ -149,8 +149,8 @@ ORACLE_SQL["corrections_apply"] = _sql(_corrected_sql(_put_sql("text", (" to ",
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line of a document as a page."""
-    return _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    """Each line of a document as a page. Texts are dealt by document, so that their tokens never are."""
+    return quality.by_document(_documents(spark, sf_dir)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 _PAGES = """pages_of AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text,
@@ -174,7 +174,8 @@ WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "was",
 
 
 def _vocabulary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in WORDS], "word string")
+    """The words as a table whose size Spark knows when it plans, so that it goes to every task and no token is dealt by its word."""
+    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(w) for w in WORDS])).alias("word"))
 
 
 def suspicious_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +186,8 @@ def suspicious_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suspicious_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    top = quality.top_suspicious(quality.suspicious_tokens(pages, _vocabulary(spark), context=False))
-    return quality.with_context(top, pages).select("doc_id", "page", "line", "place", "token", "context", "rank")
+    top = quality.top_with_context(quality.suspicious_tokens(pages, _vocabulary(spark), context=False), pages)
+    return top.select("doc_id", "page", "line", "place", "token", "context", "rank")
 
 
 _TECH = "^(?:" + "|".join(quality.TECHNICAL) + ")$"

@@ -80,3 +80,34 @@ def test_tokens_come_in_small_batches():
     assert sum(b.num_rows for b in found) == 15004 and max(b.num_rows for b in found) <= MOST_TOKENS
     links = pa.Table.from_batches(list(_token_batches(iter([pages]), ("a",)))).to_pylist()
     assert [(r["page_id"], r["pos"], r["kind"], r["attributes"]) for r in links] == [(3, 0, "start", [("href", "u")]), (3, 3, "start", [("b", "1")])]
+
+
+def _dealt_by(spark, name):
+    """The keys of a query's exchanges, without their numbers."""
+    import re
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return {tuple(re.sub(r"#\d+L?", "", k) for k in found.split(", ")[:-1]) for found in re.findall(r"hashpartitioning\(([^)]*)\)", plan)}
+
+
+TOKEN_QUERIES = ("quality_report_text",)
+
+
+def test_tokens_are_not_dealt(spark):
+    """Texts are dealt by document once; what is found in them used to be dealt by document and page or token."""
+    for name in TOKEN_QUERIES:
+        assert _dealt_by(spark, name) <= {("doc_id",), ("word",)}, name
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "[word" not in "".join(x for x in plan.split("\n") if "SortMergeJoin" in x), name
+
+
+def test_top_tokens_have_the_context_that_all_have(spark):
+    from quillmill.operators import quality
+
+    text = "\n".join(f"xq{k} the zz{k} yy" for k in range(40))
+    pages = spark.createDataFrame([(1, p, text if p else "") for p in range(3)] + [(2, 1, "the"), (3, 7, "qq")], "doc_id long, page int, text string")
+    words = spark.createDataFrame([("the",)], "word string")
+    out = ("doc_id", "page", "line", "place", "token", "context", "rank")
+    early = quality.top_suspicious(quality.suspicious_tokens(pages, words)).select(*out)
+    late = quality.top_with_context(quality.suspicious_tokens(pages, words, context=False), pages).select(*out)
+    assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect())) and late.count() == 51
