@@ -90,7 +90,7 @@ def _dealt_by(spark, name):
     return {tuple(re.sub(r"#\d+L?", "", k) for k in found.split(", ")[:-1]) for found in re.findall(r"hashpartitioning\(([^)]*)\)", plan)}
 
 
-TOKEN_QUERIES = ("quality_report_text", "suspicious_top50")
+TOKEN_QUERIES = ("quality_report_text", "suspicious_top50", "suspicious_tokens")
 
 
 def test_tokens_are_not_dealt(spark):
