@@ -111,3 +111,8 @@ def test_top_tokens_have_the_context_that_all_have(spark):
     early = quality.top_suspicious(quality.suspicious_tokens(pages, words)).select(*out)
     late = quality.top_with_context(quality.suspicious_tokens(pages, words, context=False), pages).select(*out)
     assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect())) and late.count() == 51
+
+
+def test_jobs_read_their_documents_once(spark):
+    plan = registry.QUERIES["job_states"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1
