@@ -116,3 +116,27 @@ def test_top_tokens_have_the_context_that_all_have(spark):
 def test_jobs_read_their_documents_once(spark):
     plan = registry.QUERIES["job_states"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1
+
+
+def test_archives_are_made_in_slices():
+    import pyarrow as pa
+
+    from quillmill.plans.queries_documents import _archive_batches
+
+    docs = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["x"] * 3000)], ["doc_id", "text"])
+    found = list(_archive_batches(iter([docs])))
+    assert sum(b.num_rows for b in found) == 3000 and max(b.num_rows for b in found) <= 1024
+
+
+def test_entries_of_archives_are_rows_as_before(spark):
+    import io
+    import zipfile
+
+    from quillmill.plans.convert import convert
+
+    with zipfile.ZipFile(held := io.BytesIO(), "w") as z:
+        for name, content in (("a.TXT", b"x"), ("d/b.json", b"PK\3\4"), ("c.bin", b"0"), (".h.txt", b"h"), ("in.zip", b"PK")):
+            z.writestr(name, content)
+    files = spark.createDataFrame([("p/z.zip", bytearray(held.getvalue())), ("bad.zip", bytearray(b"PK\3\4")), ("t.txt", bytearray(b"t"))], "path string, content binary")
+    found = sorted((r.path, r.kind, r.status, r.error) for r in convert(files).collect())
+    assert found == [("bad.zip/", "", "failed", "unzip_failed"), ("p/z.zip/a.TXT", "txt", "success", None), ("p/z.zip/d/b.json", "zip", "unsupported", "unsupported_format"), ("t.txt", "txt", "success", None)]
